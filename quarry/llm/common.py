@@ -6,6 +6,7 @@ Every operator reads its input as a DataFrame and takes only the columns it name
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,11 +37,18 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have ended; else they stay until the driver's memory is short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by stage_table that no later step reads."""
     spark, path = df.sparkSession, df._quarry_path

@@ -27,7 +27,9 @@ from quarry.llm.common import drop_table, slices, small_batches, stage_table
 from quarry.llm.graph import components
 
 #: Shingles that are put last in the order: at most so many, those that most classes hold.
-MOST_FREQUENT = 65_536
+MOST_FREQUENT = 1 << 19
+#: A shingle counts as frequent from so many classes on, unless too many shingles would.
+LEAST_FREQUENT = 16
 #: Bits that sift the classes whose sets a verification needs.
 SIFT_BITS = 24
 
@@ -40,6 +42,10 @@ class Similarity:
     num: int = 80
     den: int = 100
 
+    def least_common(self, a, b):
+        """Shingles that linked sets of these sizes share at least (numbers or columns)."""
+        return -(-self.num * (a + b) // (self.den + self.num)) if isinstance(a, int) else F.ceil(self.num * (a + b) / (self.den + self.num))
+
     def prefix(self, n: int) -> int:
         """Elements of a set of n of which a linked set must hold one."""
         return n - -(-self.num * n // self.den) + 1
@@ -99,39 +105,87 @@ def leading_shingles(docs: DataFrame, like: Similarity, id_col: str, text_col: s
     return over_texts(docs, id_col, text_col, fn, "token long, class long")
 
 
-def frequent_shingles(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> np.ndarray:
-    """The shingles that go last: those held more than total / MOST_FREQUENT times (and 16 times).
-
-    They are at most MOST_FREQUENT by that rule.  The choice affects speed only, never results.
-    """
-    counts = stage_table(leading_shingles(docs, like, id_col, text_col).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 16"), "counts")
+def most_held(counts: DataFrame) -> np.ndarray:
+    """The tokens of a table (token, n) held more than total / MOST_FREQUENT times: at most MOST_FREQUENT of them."""
+    counts = stage_table(counts.where(F.col("n") >= LEAST_FREQUENT), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > F.lit(total // MOST_FREQUENT)).select("token").collect()
+    found = counts.where(F.col("n") > F.lit(total // MOST_FREQUENT)).select("token").toPandas()["token"].to_numpy(np.int64)
     drop_table(counts)
-    return np.sort(np.array([r[0] for r in rows], np.int64))
+    return np.sort(found)
+
+
+def count_tokens(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
 def describe(docs: DataFrame, like: Similarity, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, key, n (set size), class, prefix in the global order, rare (its shingles outside the frequent ones), bitmap."""
+    """Per document: id, key, n (set size), class, prefix, rare (shingles outside the frequent ones), bitmap, open.
+
+    The prefix is final if it lies within the shingles that were counted.  Otherwise the set is ``open``: most
+    of what was counted is frequent, the rest isn't known, and the prefix column has the whole set.  A class
+    that occurs again in a batch has nulls instead.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fn(part, texts):
-        last = shared.value
-        rows = []
+        last, rows, seen = shared.value, [], set()
         for text in texts:
             s = shingles(text, like.k)
-            if not len(s):
-                rows.append((0, digest(s), [], 0, b""))
+            c = digest(s)
+            if c in seen or not len(s):
+                rows.append((len(s), c, None, None, None, None))
                 continue
-            often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-            p, few = like.prefix(len(s)), s[~often]
-            rows.append((len(s), digest(s), (few[:p] if len(few) >= p else np.concatenate([few, s[often][: p - len(few)]])), len(few), parity(s)))
-        n, c, prefix, rare, bitmap = zip(*rows)
-        return [part.column("id"), part.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(bitmap, pa.binary())]
+            seen.add(c)
+            p = like.prefix(len(s))
+            rare = ~is_in(s, last)
+            closed = rare[: 2 * p].sum() >= p or len(s) <= 2 * p
+            few = s[rare]
+            prefix = s if not closed else few[:p] if len(few) >= p else np.concatenate([few, s[~rare][: p - len(few)]])
+            rows.append((len(s), c, prefix, len(few), parity(s), not closed))
+        n, c, prefix, rare, bitmap, wide = zip(*rows)
+        return [part.column("id"), part.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(wide, pa.bool_())]
 
-    return over_texts(docs, id_col, text_col, fn, f"id {kind}, key long, n long, class binary, prefix array<long>, rare long, bitmap binary")
+    return over_texts(docs, id_col, text_col, fn, f"id {kind}, key long, n long, class binary, prefix array<long>, rare long, bitmap binary, open boolean")
+
+
+def settle(classes: DataFrame, like: Similarity, frequent: np.ndarray) -> DataFrame:
+    """Final prefixes for open sets: their shingles are counted, and the frequent ones go last too.
+
+    Only shingles in no closed prefix may still move to the end of the order, so closed prefixes stay right.
+    """
+    spark = classes.sparkSession
+    wide = classes.where("open")
+    if wide.isEmpty():
+        return classes
+    more = most_held(count_tokens(wide.select(F.explode("prefix").alias("token"))))
+    shared = spark.sparkContext.broadcast(more)
+
+    def taken(batches):
+        for batch in batches:
+            flat = np.unique(batch.column("prefix").flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[is_in(flat, shared.value)], pa.int64())], names=["token"])
+
+    used = classes.where("not open").select("prefix").mapInArrow(taken, "token long").distinct().toPandas()["token"].to_numpy(np.int64)
+    last = spark.sparkContext.broadcast(np.union1d(frequent, np.setdiff1d(more, used)))
+
+    @F.pandas_udf("prefix array<long>, rare long")
+    def ordered(sets: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in sets:
+            s = np.asarray(s, np.int64)
+            often = is_in(s, last.value)
+            out.append((np.concatenate([s[~often], s[often]])[: like.prefix(len(s))], int((~often).sum())))
+        return pd.DataFrame(out, columns=["prefix", "rare"])
+
+    columns = ["class", "n", "bitmap", "least"]
+    settled = wide.select(*columns, ordered("prefix").alias("o")).select(*columns, "o.prefix", "o.rare")
+    return stage_table(classes.where("not open").select(*columns, "prefix", "rare").unionByName(settled), "settled")
 
 
 def sift(pairs: DataFrame, like: Similarity) -> DataFrame:
@@ -190,8 +244,13 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
     return found.where(like.den * common >= like.num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def sizes_allow(a: Column, b: Column, like: Similarity) -> Column:
-    return like.den * F.least(a, b) >= like.num * F.greatest(a, b)
+def places_allow(a: Column, at: Column, b: Column, bt: Column, like: Similarity) -> Column:
+    """Sizes a and b, and a shared shingle at places ``at`` and ``bt`` of the order, leave room for a link.
+
+    For the first shared shingle of a pair this is a bound on what they share, so every link passes at it.
+    """
+    least = like.least_common(a, b)
+    return (like.den * F.least(a, b) >= like.num * F.greatest(a, b)) & (a - at >= least) & (b - bt >= least)
 
 
 def with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,10 +270,10 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
     # First round: members with their group's leader, leaders with the most central one of each bucket.
     stars = members.join(leaders.select("group", "n", "prefix", F.col("class").alias("b")), ["group", "n", "prefix"]).select(F.col("class").alias("a"), "b")
     band = F.log(F.col("n").cast("double")) / F.log(F.lit(like.den / like.num))
-    buckets = leaders.select("class", "n", "rare", F.explode(F.array(F.floor(band) * 2, F.floor(band + 0.5) * 2 + 1)).alias("band"), "prefix").select("class", "n", "rare", "band", F.explode("prefix").alias("token"))
-    centre = buckets.groupBy("token", "band").agg(F.min(F.struct("rare", "class", "n")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 2")
-    centre = centre.select("token", "band", F.col("top.class").alias("b"), F.col("top.n").alias("nb"))
-    spokes = buckets.join(centre, ["token", "band"]).where(sizes_allow(F.col("n"), F.col("nb"), like)).select(F.col("class").alias("a"), "b")
+    buckets = leaders.select("class", "n", "rare", F.explode(F.array(F.floor(band) * 2, F.floor(band + 0.5) * 2 + 1)).alias("band"), "prefix").select("class", "n", "rare", "band", F.posexplode("prefix").alias("at", "token"))
+    centre = buckets.groupBy("token", "band").agg(F.min(F.struct("rare", "class", "n", "at")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 2")
+    centre = centre.select("token", "band", F.col("top.class").alias("b"), F.col("top.n").alias("nb"), F.col("top.at").alias("bt"))
+    spokes = buckets.join(centre, ["token", "band"]).where(places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)).select(F.col("class").alias("a"), "b")
     pairs = stars.unionByName(spokes).where("a <> b").distinct()
     pairs = stage_table(sift(with_classes(pairs, classes), like).select("a", "b"), "pairs")
     edges = stage_table(verify(pairs, docs, like, id_col, text_col), "links")
@@ -226,13 +285,13 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
         return df.join(first.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
     parts = stage_table(root(members).groupBy("group", "n", "prefix", "root").agg(F.min("class").alias("part")), "parts")
-    rows = parts.select("part", "n", "root", F.explode("prefix").alias("token"))
+    rows = parts.select("part", "n", "root", F.posexplode("prefix").alias("at", "token"))
     shared = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     rows = stage_table(rows.join(shared, "token", "left_semi"), "buckets")
     held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
     minors = rows.join(held, "token").where("root <> main")
-    other = rows.select("token", F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-    pairs = minors.join(other, "token").where(F.col("root") != F.col("root_b")).where(sizes_allow(F.col("n"), F.col("nb"), like))
+    other = rows.select("token", F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("root_b"))
+    pairs = minors.join(other, "token").where((F.col("root") != F.col("root_b")) & places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like))
     pairs = pairs.select(F.least("part", "part_b").alias("pa"), F.greatest("part", "part_b").alias("pb")).distinct()
     # Expand the parts to their members.
     inside = root(members).join(parts.select("group", "n", "prefix", "root", "part"), ["group", "n", "prefix", "root"]).select("part", "class")
@@ -244,10 +303,10 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
 
 def grouped_documents(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """One row a document: id, key (hash of the text), n, component_id and group (a class digest; null for empty sets)."""
-    frequent = frequent_shingles(docs, like, id_col, text_col)
+    frequent = most_held(count_tokens(leading_shingles(docs, like, id_col, text_col)))
     every = stage_table(describe(docs, like, frequent, id_col, text_col), "described")
-    classes = every.where("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "rare", "bitmap")), F.min("id").alias("least"))
-    classes = stage_table(classes, "classes")
+    classes = every.where("n > 0").groupBy("class").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n", "prefix", "rare", "bitmap", "open")), F.min("id").alias("least"))
+    classes = settle(stage_table(classes, "classes"), like, frequent)
     roots = links(classes, docs, like, id_col, text_col)
     grouped = classes.select("class", "least").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     grouped = stage_table(grouped, "grouped")
