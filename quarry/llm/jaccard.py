@@ -66,8 +66,9 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes())
+def digest(hashes: np.ndarray) -> int:
+    """A class's name: 64 bits of a hash of its sorted shingles, signed."""
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "big", signed=True)
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -97,7 +98,7 @@ def leading_shingles(docs: DataFrame, like: Similarity, id_col: str, text_col: s
         lists = [s[: 2 * like.prefix(len(s))] if len(s) else s for s in sets]
         counts = [len(x) for x in lists]
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        owner = np.frombuffer(b"".join(digest(s)[:8] * n for s, n in zip(sets, counts)), np.int64)
+        owner = np.repeat(np.array([digest(s) for s in sets], np.int64), counts)
         # A class that occurs twice in a batch counts once.
         keep = np.unique(np.stack([owner, flat], 1), axis=0) if len(flat) else np.zeros((0, 2), np.int64)
         return [pa.array(np.ascontiguousarray(keep[:, 1])), pa.array(np.ascontiguousarray(keep[:, 0]))]
@@ -149,9 +150,9 @@ def describe(docs: DataFrame, like: Similarity, frequent: np.ndarray, id_col: st
             prefix = s if not closed else few[:p] if len(few) >= p else np.concatenate([few, s[~rare][: p - len(few)]])
             rows.append((len(s), c, prefix, len(few), parity(s), not closed))
         n, c, prefix, rare, bitmap, wide = zip(*rows)
-        return [part.column("id"), part.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(wide, pa.bool_())]
+        return [part.column("id"), part.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(wide, pa.bool_())]
 
-    return over_texts(docs, id_col, text_col, fn, f"id {kind}, key long, n long, class binary, prefix array<long>, rare long, bitmap binary, open boolean")
+    return over_texts(docs, id_col, text_col, fn, f"id {kind}, key long, n long, class long, prefix array<long>, rare long, bitmap binary, open boolean")
 
 
 def settle(classes: DataFrame, like: Similarity, frequent: np.ndarray) -> DataFrame:
@@ -218,7 +219,7 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
     """
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    place = F.conv(F.hex(F.substring("class", 1, SIFT_BITS // 8)), 16, 10).cast("long")
+    place = F.col("class").bitwiseAND(F.lit((1 << SIFT_BITS) - 1))
     words = needed.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).collect()
     bitmap = np.zeros(1 << (SIFT_BITS - 5), np.uint32)
     for w, bits in words:
@@ -230,14 +231,14 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
         for text in texts:
             s = shingles(text, like.k)
             c = digest(s)
-            p = int.from_bytes(c[: SIFT_BITS // 8], "big")
+            p = c & ((1 << SIFT_BITS) - 1)
             if c not in seen and shared.value[p >> 5] >> np.uint32(p & 31) & 1:
                 seen.add(c)
                 classes.append(c)
                 sets.append(s)
-        return [pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+        return [pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
 
-    sets = over_texts(docs, id_col, text_col, fn, "class binary, hashes array<long>").join(needed, "class", "left_semi")
+    sets = over_texts(docs, id_col, text_col, fn, "class long, hashes array<long>").join(needed, "class", "left_semi")
     sets = stage_table(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
     found = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -259,42 +260,48 @@ def with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """The rows whose token another row has too; the others, which are most, never move again."""
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+    return stage_table(rows.join(held, "token", "left_semi"), "buckets")
+
+
 def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """(node, root) of classes that link with others; classes has class, n, prefix, rare, bitmap."""
-    # Groups: classes of one size with one prefix.  The leader is the one with fewest rare shingles.
-    grouped = classes.select("class", "n", "rare", F.xxhash64("n", "prefix").alias("group"), "prefix")
-    leaders = grouped.groupBy("group", "n", "prefix").agg(F.min(F.struct("rare", "class")).alias("lead"))
-    leaders = stage_table(leaders.select("group", "n", "prefix", F.col("lead.class").alias("class"), F.col("lead.rare").alias("rare")), "leaders")
-    members = grouped.select("class", "n", "group", "prefix")
-
-    # First round: members with their group's leader, leaders with the most central one of each bucket.
-    stars = members.join(leaders.select("group", "n", "prefix", F.col("class").alias("b")), ["group", "n", "prefix"]).select(F.col("class").alias("a"), "b")
+    # Groups: classes of one size with one prefix, named by the one with fewest rare shingles, their leader.
+    led = classes.groupBy("n", "prefix").agg(F.min(F.struct("rare", "class")).alias("lead")).select("n", "prefix", F.col("lead.class").alias("group"), F.col("lead.rare").alias("rare"))
+    led = stage_table(led, "groups")
+    members = stage_table(classes.select("class", "n", "prefix").join(led.select("n", "prefix", "group"), ["n", "prefix"]).select("class", "group"), "members")
+    rows = in_buckets(led.select("group", "n", "rare", F.posexplode("prefix").alias("at", "token")))
+
+    # First round: members with their leader, leaders with the most central one of each bucket.
     band = F.log(F.col("n").cast("double")) / F.log(F.lit(like.den / like.num))
-    buckets = leaders.select("class", "n", "rare", F.explode(F.array(F.floor(band) * 2, F.floor(band + 0.5) * 2 + 1)).alias("band"), "prefix").select("class", "n", "rare", "band", F.posexplode("prefix").alias("at", "token"))
-    centre = buckets.groupBy("token", "band").agg(F.min(F.struct("rare", "class", "n", "at")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 2")
-    centre = centre.select("token", "band", F.col("top.class").alias("b"), F.col("top.n").alias("nb"), F.col("top.at").alias("bt"))
-    spokes = buckets.join(centre, ["token", "band"]).where(places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)).select(F.col("class").alias("a"), "b")
-    pairs = stars.unionByName(spokes).where("a <> b").distinct()
+    banded = rows.select("*", F.explode(F.array(F.floor(band) * 2, F.floor(band + 0.5) * 2 + 1)).alias("band"))
+    centre = banded.groupBy("token", "band").agg(F.min(F.struct("rare", "group", "n", "at")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 2")
+    centre = centre.select("token", "band", F.col("top.group").alias("b"), F.col("top.n").alias("nb"), F.col("top.at").alias("bt"))
+    spokes = banded.join(centre, ["token", "band"]).where(places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)).select(F.col("group").alias("a"), "b")
+    pairs = members.select(F.col("class").alias("a"), F.col("group").alias("b")).unionByName(spokes).where("a <> b").distinct()
     pairs = stage_table(sift(with_classes(pairs, classes), like).select("a", "b"), "pairs")
     edges = stage_table(verify(pairs, docs, like, id_col, text_col), "links")
     drop_table(pairs)
     first = stage_table(components(edges), "roots")
 
     # Second round: what is still in different components.  A group splits into one part a component.
-    def root(df: DataFrame) -> DataFrame:
-        return df.join(first.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-    parts = stage_table(root(members).groupBy("group", "n", "prefix", "root").agg(F.min("class").alias("part")), "parts")
-    rows = parts.select("part", "n", "root", F.posexplode("prefix").alias("at", "token"))
-    shared = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    rows = stage_table(rows.join(shared, "token", "left_semi"), "buckets")
-    held = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
-    minors = rows.join(held, "token").where("root <> main")
+    placed = members.join(first.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "group", F.coalesce("root", "class").alias("root"))
+    parts = stage_table(placed.groupBy("group", "root").agg(F.min("class").alias("part")), "parts")
+    # Parts of one group share their whole prefix: the group is one more bucket, whether its shingles are shared or not.
+    split = parts.groupBy("group").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group")
+    own = led.select("group", "n", F.lit(0).alias("at"), F.xxhash64("group", F.lit("group")).alias("token")).join(split, "group", "left_semi")
+    rows = rows.select("group", "n", "at", "token").unionByName(own).join(parts, "group").select("part", "n", "root", "at", "token")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    rows = stage_table(rows.join(mixed, "token", "left_semi"), "buckets")
+    main = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
+    minors = rows.join(main, "token").where("root <> main")
     other = rows.select("token", F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("root_b"))
-    pairs = minors.join(other, "token").where((F.col("root") != F.col("root_b")) & places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like))
-    pairs = pairs.select(F.least("part", "part_b").alias("pa"), F.greatest("part", "part_b").alias("pb")).distinct()
+    near = (F.col("root") != F.col("root_b")) & places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)
+    pairs = minors.join(other, "token").where(near).select(F.least("part", "part_b").alias("pa"), F.greatest("part", "part_b").alias("pb")).distinct()
     # Expand the parts to their members.
-    inside = root(members).join(parts.select("group", "n", "prefix", "root", "part"), ["group", "n", "prefix", "root"]).select("part", "class")
+    inside = placed.join(parts, ["group", "root"]).select("part", "class")
     expanded = pairs.join(inside.select(F.col("part").alias("pa"), F.col("class").alias("a")), "pa").join(inside.select(F.col("part").alias("pb"), F.col("class").alias("b")), "pb").select("a", "b")
     pairs = stage_table(sift(with_classes(expanded, classes), like).select("a", "b"), "pairs")
     more = verify(pairs, docs, like, id_col, text_col)
@@ -313,7 +320,7 @@ def grouped_documents(docs: DataFrame, like: Similarity, id_col: str, text_col:
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(smallest, "root").select("class", F.col("root").alias("group"), "component_id")
     full = every.where("n > 0").select("id", "key", "n", "class").join(named, "class").select("id", "key", "n", "component_id", "group")
-    return full.unionByName(every.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("group")))
+    return full.unionByName(every.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group")))
 
 
 def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
