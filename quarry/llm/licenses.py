@@ -58,10 +58,10 @@ class Index:
     @classmethod
     def build(cls, templates: dict[str, str]) -> Index:
         index = cls(list(templates))
-        for t, text in enumerate(templates.values()):
-            ids = [index.words.setdefault(w, len(index.words) + 1) for w in WORD.findall(text.lower())]
-            index.templates.append(np.array(ids))
-            grams = index.grams(np.array(ids))
+        for text in templates.values():
+            index.templates.append(np.array([index.words.setdefault(w, len(index.words) + 1) for w in WORD.findall(text.lower())], np.int64))
+        for t, ids in enumerate(index.templates):
+            grams = index.grams(ids)
             for i in winnow([zlib.crc32(int(g).to_bytes(8, "little")) for g in grams], WINDOW):
                 index.places.setdefault(int(grams[i]), []).append((t, i))
         return index

@@ -33,7 +33,9 @@ SUBSTRING_BYTES = range(5, 13)
 #: A substring is added if toxic documents hold it at so many times the ordinary rate, and if the logarithm of
 #: the odds against chance (Poisson) is so large; there are some hundred thousand substrings to choose from.
 LEAST_RATIO = 4.0
-LEAST_PROOF = 18.0
+LEAST_PROOF = 14.0
+#: Folds of the calibration; word-triple hashes that tell copies among the training texts.
+FOLDS = 4
 SKETCH = 4
 #: Ends every window and both dictionaries: without it zstandard stores short windows that hardly compress as they are.
 TAIL = bytes(range(1, 33))
@@ -82,17 +84,13 @@ def folded(text: str) -> str:
     return text.lower()
 
 
-def marked(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+def marked(have: Counter, rest: Counter, scale: float) -> list[bytes]:
     """Substrings over-represented in toxic documents, the strongest last.
 
-    A substring that holds a stronger one, or is part of it, is left out: what it adds is ordinary text.
+    ``have`` and ``rest`` count the toxic and the ordinary documents that hold each; ``scale`` is the ratio of
+    the classes' sizes.  A substring that holds a stronger one, or is part of it, is left out: what it adds is
+    ordinary text.
     """
-    have, rest = Counter(), Counter()
-    for text in toxic:
-        have.update(substrings(text))
-    for text in ordinary:
-        rest.update(substrings(text))
-    scale = max(1, len(toxic)) / max(1, len(ordinary))
     proof = {s: n * np.log(n / expected) - (n - expected) for s, n in have.items() if n >= LEAST_RATIO * (expected := (rest[s] + 0.5) * scale)}
     strong = [s for s, x in proof.items() if x >= LEAST_PROOF]
     chosen: list[bytes] = []
@@ -154,27 +152,34 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray
 
 
 def train(toxic: list[str], ordinary: list[str], class_sizes: tuple[int, int]) -> ToxicityModel:
-    """Dictionaries from one half of the labelled texts, calibration on the other; then on all for the final ones.
+    """Calibration across folds (each scored with dictionaries of the others), then dictionaries of all texts.
 
     ``class_sizes`` are the sizes of the whole classes: the sampled ones are weighted back to them.
     """
     toxic, ordinary = without_copies(toxic), without_copies(ordinary)
 
-    def dictionaries(bad, good):
-        base, added = base_of(good), b"".join(marked(bad, good))
-        filler = bytes(128 + i % 61 for i in range(len(added)))
-        return base + filler + TAIL, base + added + TAIL
-
     if not toxic or not ordinary:
-        return ToxicityModel(base_of(ordinary), base_of(ordinary), (0.0, 0.0, 0.0), 4.0 if toxic else -4.0)
+        base = base_of(ordinary) + TAIL
+        return ToxicityModel(base, base, (0.0, 0.0, 0.0), 4.0 if toxic else -4.0)
+    by_fold = [[Counter(s for t in texts[k::FOLDS] for s in substrings(t)) for k in range(FOLDS)] for texts in (toxic, ordinary)]
+    whole = [sum(folds, Counter()) for folds in by_fold]
+
+    def dictionaries(fold: int | None) -> tuple[bytes, bytes]:
+        """Of all texts, or of those outside a fold."""
+        have, rest = (w if fold is None else w - folds[fold] for w, folds in zip(whole, by_fold))
+        added = b"".join(marked(have, rest, len(toxic) / len(ordinary)))
+        base = base_of([t for i, t in enumerate(ordinary) if i % FOLDS != fold])
+        return base + bytes(128 + i % 61 for i in range(len(added))) + TAIL, base + added + TAIL
+
     rows, ys = [], []
-    for k in (0, 1):
-        learn, hold = dictionaries(toxic[k::2], ordinary[k::2]), (toxic[1 - k :: 2], ordinary[1 - k :: 2])
-        for label, texts in ((1.0, hold[0]), (0.0, hold[1])):
-            rows.append(features(*learn, texts))
+    for k in range(FOLDS):
+        learnt = dictionaries(k)
+        for label, texts in ((1.0, toxic[k::FOLDS]), (0.0, ordinary[k::FOLDS])):
+            rows.append(features(*learnt, texts))
             ys.append(np.full(len(texts), label))
     weights, bias = logistic(np.vstack(rows), np.concatenate(ys))
-    return ToxicityModel(*dictionaries(toxic, ordinary), tuple(weights.tolist()), bias + float(np.log(class_sizes[0] / len(toxic)) - np.log(class_sizes[1] / len(ordinary))))
+    shift = np.log(class_sizes[0] / len(toxic)) - np.log(class_sizes[1] / len(ordinary))
+    return ToxicityModel(*dictionaries(None), tuple(weights.tolist()), bias + float(shift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
