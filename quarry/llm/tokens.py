@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, remembered by white-space word; digests and packed id files.
 
 The library encodes words, not whole texts: no piece of these vocabularies crosses white space, so the ids of
-a text are those of its words in turn.  A text that holds a special token's string goes to the library whole.
+a text are those of its words in turn.  Nor does one cross from letters to a mark, so "word," is remembered as
+"word".  A text that holds a special token's string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import os
 import struct
 import zlib
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,20 @@ from quarry.llm.common import slices, small_batches, stage_table
 from quarry.llm.wordbpe import WordCache, words_of
 
 
+#: A word of letters and one of these is two pieces.
+MARKS = ".,;:!?"
+#: New words that the library gets as one text.
+JOINED_WORDS = 2000
+
+
+def stem_of(word: str) -> str:
+    """The word without its last mark, if only letters stand before it, normalised and lowered ones too."""
+    if word[-1] not in MARKS:
+        return word
+    stem = word[:-1]
+    return stem if stem.isalpha() and (stem.isascii() or (is_normalized("NFC", stem) and stem.lower().isalpha())) else word
+
+
 class LibraryEncoder:
     """uint32 little-endian ids of texts, by the tokenizers library behind a word cache."""
 
@@ -32,21 +48,34 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.cache = WordCache(self.whole)
+        self.marks = {m: self.whole(m) for m in MARKS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of words without special tokens into the cache; a special token keeps them apart in one text."""
+        for i in range(0, len(words), JOINED_WORDS):
+            some = words[i : i + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(ids == self.apart_id)
+            raw = ids.tobytes()
+            for word, start, end in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
+                self.cache.put(word, raw[start:end])
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         plain = [not any(s in t for s in self.special) for t in texts]
         words = [words_of(t) if p else [] for t, p in zip(texts, plain)]
+        stems = {w: stem_of(w) for w in set().union(*words)}
         cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache and w not in cache.old})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache.put(word, np.array(found.ids, "<u4").tobytes())
-        get = cache.__getitem__
+        self.learn([w for w in set(stems.values()) if w not in cache and w not in cache.old])
+        ids = {w: cache[s] if s == w else cache[s] + self.marks[w[-1]] for w, s in stems.items()}
+        get = ids.__getitem__
         return [b"".join(map(get, ws)) if p else self.whole(t) for t, p, ws in zip(texts, plain, words)]
 
 
