@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, remembered by white-space word; digests and packed id files.
 
 The library encodes words, not whole texts: no piece of these vocabularies crosses white space, so the ids of
-a text are those of its words in turn.  Nor does one cross from letters to a mark, so "word," is remembered as
-"word".  A text that holds a special token's string goes to the library whole.
+a text are those of its words in turn.  Nor does one cross from letters to a mark, so "Word," is remembered as
+"word", and letters alone need only the library's model, without its normaliser and its splitting.  A text that
+holds a special token's string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, small_batches, stage_table
-from quarry.llm.wordbpe import WordCache, words_of
+from quarry.llm.wordbpe import WordCache, byte_letters, words_of
 
 
 #: A word of letters and one of these is two pieces.
@@ -30,12 +31,13 @@ MARKS = ".,;:!?"
 JOINED_WORDS = 2000
 
 
-def stem_of(word: str) -> str:
-    """The word without its last mark, if only letters stand before it, normalised and lowered ones too."""
-    if word[-1] not in MARKS:
-        return word
-    stem = word[:-1]
-    return stem if stem.isalpha() and (stem.isascii() or (is_normalized("NFC", stem) and stem.lower().isalpha())) else word
+def letters_of(word: str) -> str:
+    """The word in lower case without its last mark, if that is one piece of letters; else nothing."""
+    stem = word[:-1] if word[-1] in MARKS else word
+    if not stem.isalpha():
+        return ""
+    low = stem.lower()
+    return low if stem.isascii() or ("Σ" not in stem and is_normalized("NFC", stem) and low.isalpha()) else ""
 
 
 class LibraryEncoder:
@@ -52,8 +54,9 @@ class LibraryEncoder:
         self.special = [t.content for t in added.values()]
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.cache = WordCache(self.whole)
+        self.cache, self.pieces = WordCache(self.whole), WordCache(self.whole)
         self.marks = {m: self.whole(m) for m in MARKS}
+        self.letter_of = dict(enumerate(byte_letters()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,14 +71,24 @@ class LibraryEncoder:
             for word, start, end in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
                 self.cache.put(word, raw[start:end])
 
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Put the ids of pieces of lower-case letters into the cache."""
+        tokenize, put = self.tokenizer.model.tokenize, self.pieces.put
+        for piece in pieces:
+            ids = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letter_of))]
+            put(piece, struct.pack(f"<{len(ids)}I", *ids))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         plain = [not any(s in t for s in self.special) for t in texts]
         words = [words_of(t) if p else [] for t, p in zip(texts, plain)]
-        stems = {w: stem_of(w) for w in set().union(*words)}
-        cache = self.cache
-        self.learn([w for w in set(stems.values()) if w not in cache and w not in cache.old])
-        ids = {w: cache[s] if s == w else cache[s] + self.marks[w[-1]] for w, s in stems.items()}
-        get = ids.__getitem__
+        cache, pieces = self.cache, self.pieces
+        letters = {w: letters_of(w) for w in {w for ws in words for w in ws if w not in cache and w not in cache.old}}
+        self.learn_pieces({s for s in letters.values() if s and s not in pieces and s not in pieces.old})
+        self.learn([w for w, s in letters.items() if not s])
+        for word, piece in letters.items():
+            if piece:
+                cache.put(word, pieces[piece] + self.marks.get(word[-1], b""))
+        get = cache.__getitem__
         return [b"".join(map(get, ws)) if p else self.whole(t) for t, p, ws in zip(texts, plain, words)]
 
 
