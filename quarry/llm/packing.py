@@ -9,7 +9,9 @@ the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,45 +45,61 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def completions(lengths: np.ndarray, counts: dict[int, int], room: int, nodes: int, most: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, least waste first, found by branch and bound.
 
-    The incumbent is the best fit (the largest piece that fits, again and again).  Branches take pieces in
-    descending order.  A branch is cut when even the largest piece left cannot bring its waste under the worst
-    one kept.  A filling that leaves room for a piece still at hand is dominated by the one with that piece,
+    The incumbent is the best fit (the largest piece that fits, again and again).  Branches take runs of equal
+    pieces in descending order, on a stack of our own: a filling may have as many pieces as ``room``.  A branch
+    is cut when even all the pieces left for it cannot bring its waste under the worst one kept.  A filling that leaves room for a piece still at hand is dominated by the one with that piece,
     and one that splits what a single piece at hand would fill exactly is dominated by that piece, so neither
     is listed.
     """
+    sizes = [int(x) for x in lengths if counts[int(x)]]
+    have = [counts[x] for x in sizes]
+    reach = [0, *accumulate(x * n for x, n in zip(sizes, have))]
     found: list[tuple[int, tuple[int, ...]]] = []
-    left = dict(counts)
-    budget = [nodes]
-
-    def descend(room: int, below: int, chosen: tuple[int, ...]) -> bool:
-        """True: enough perfect fillings are known."""
-        budget[0] -= 1
-        at = int(np.searchsorted(lengths, min(room, below), "right")) - 1
-        if room <= below and left.get(room):
-            found.append((0, chosen + (room,)))
-            found.sort()
-            return len(found) >= most and found[most - 1][0] == 0
-        any_fits = False
-        while at >= 0:
-            piece = int(lengths[at])
-            if left[piece]:
-                if chosen and any_fits and budget[0] <= 0:
-                    return True
-                any_fits = True
-                left[piece] -= 1
-                stop = descend(room - piece, piece, chosen + (piece,))
-                left[piece] += 1
-                if stop or budget[0] <= 0:
-                    return True
-            at -= 1
-        if not any_fits and (len(found) < most or room < found[-1][0]):
-            if not any(left[int(x)] for x in lengths[: int(np.searchsorted(lengths, room, "right"))]):
-                found.append((room, chosen))
-                found.sort()
-                del found[most:]
-        return False
-
-    descend(room, room, ())
+    #: Runs taken so far, as [index of the length, pieces of it, room before them].
+    runs: list[list[int]] = []
+    limit = len(sizes) - 1
+
+    def record(waste: int, *last: int) -> None:
+        found.append((waste, tuple(x for i, k, _ in runs for x in [sizes[i]] * k) + last))
+        found.sort()
+        del found[most:]
+
+    def too_much(room: int, below: int) -> bool:
+        """Even all the pieces of the first ``below`` lengths leave no less waste than the worst one kept."""
+        return len(found) >= most and room - reach[below] >= found[-1][0]
+
+    while True:
+        nodes -= 1
+        at = min(limit, bisect_right(sizes, room) - 1)
+        if room == 0 or (at >= 0 and sizes[at] == room):
+            record(0, *([room] if room else []))
+            if len(found) >= most and found[-1][0] == 0:
+                break
+        elif at < 0:
+            used = {i: k for i, k, _ in runs}
+            if (len(found) < most or room < found[-1][0]) and all(have[i] == used.get(i, 0) for i in range(bisect_right(sizes, room))):
+                record(room)
+        elif not too_much(room, at + 1):
+            runs.append([at, min(have[at], room // sizes[at]), room])
+            room, limit = room - runs[-1][1] * sizes[at], at - 1
+            continue
+        if nodes <= 0:
+            break
+        while runs:
+            i, k, room = runs[-1]
+            k -= 2 if k * sizes[i] == room else 1
+            if k > 0:
+                runs[-1][1] = k
+            elif i and not too_much(room, i):
+                i, k = i - 1, min(have[i - 1], room // sizes[i - 1])
+                runs[-1][:2] = i, k
+            else:
+                runs.pop()
+                continue
+            room, limit = room - k * sizes[i], i - 1
+            break
+        else:
+            break
     return [c for _, c in found]
 
 
