@@ -37,6 +37,8 @@ class SearchOptions:
     match_path: bool = False
     whole_word: bool = False
     regex: bool = False
+    #: Most candidates whose bodies a content search reads, first in the wanted order; None reads all.
+    content_candidates: int | None = None
     tz: str = "UTC"
     now: datetime | None = None
 

@@ -13,7 +13,7 @@ from quarry.operators.paths import folder_paths, with_paths
 from quarry.plans import compile as compiler
 from quarry.plans import query as language
 from quarry.plans.query import QueryError, SearchOptions
-from quarry.schema import CONTENT_CANDIDATES, HIT_COLUMNS, SERVICE_LIMIT
+from quarry.schema import HIT_COLUMNS, SERVICE_LIMIT
 
 
 @dataclass
@@ -94,13 +94,16 @@ def candidates(catalog: Catalog, options: SearchOptions) -> tuple[SearchOptions,
 def content_matches(catalog: Catalog, bodies: DataFrame, options: SearchOptions) -> DataFrame:
     """Entries whose metadata match and whose body holds every content term.
 
-    As the language defines it, only the first 50,000 candidates in the wanted order are read.
+    ``options.content_candidates`` (the desktop program's limit is CONTENT_CANDIDATES) restricts the search to
+    the first candidates in the wanted order; without it every candidate is searched.
     """
     narrowed, terms = candidates(catalog, options)
     if not terms:
         return matching(catalog, narrowed)
-    first = matching(catalog, narrowed).orderBy(*order(options)).limit(CONTENT_CANDIDATES)
-    return content.containing(first, bodies, terms, options.match_case)
+    rows = matching(catalog, narrowed)
+    if options.content_candidates is not None:
+        rows = rows.orderBy(*order(options)).limit(options.content_candidates)
+    return content.containing(rows, bodies, terms, options.match_case)
 
 
 def search(catalog: Catalog, options: SearchOptions, bodies: DataFrame | None = None) -> SearchResult:
@@ -111,7 +114,8 @@ def search(catalog: Catalog, options: SearchOptions, bodies: DataFrame | None =
             found = content_matches(catalog, bodies, options)
             ordered = found.orderBy(*order(options)).limit(options.limit)
             hits = as_hits(ordered if "path" in ordered.columns else with_paths(ordered, catalog.paths()).orderBy(*order(options)))
-            return SearchResult(hits, found.count(), None, matching(catalog, narrowed).count() > CONTENT_CANDIDATES)
+            most = options.content_candidates
+            return SearchResult(hits, found.count(), None, most is not None and matching(catalog, narrowed).count() > most)
         plain = narrowed if terms else options
         return SearchResult(page(catalog, plain), matching(catalog, plain).count())
     except QueryError as e:

@@ -208,3 +208,17 @@ def test_content_skips_folders_and_links(spark):
     bodies = spark.createDataFrame([("C", i, "Hello TIMEOUT world") for i in (1, 2, 3)] + [("C", 4, None)], "drive string, record long, text string")
     assert [r.record for r in content.containing(files, bodies, ["timeout", "hello"]).collect()] == [1]
     assert content.containing(files, bodies, ["timeout"], match_case=True).count() == 0
+
+
+def test_content_reads_all_candidates(spark):
+    """Of 50,100 candidates the last in order match too; the desktop program's limit only holds where it is asked for."""
+    n = 50_100
+    rows = spark.range(n).select(
+        F.lit("C").alias("drive"), (F.col("id") + 10).alias("record"), F.lit(5).cast("long").alias("parent"), F.format_string("f%06d.txt", "id").alias("name"), F.format_string("f%06d.txt", "id").alias("name_lower"),
+        F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"), *(F.lit(None).cast("long").alias(f"{t}_ms") for t in ("modified", "created", "accessed")), F.lit(0).alias("attributes"),
+    )
+    bodies = spark.createDataFrame([("C", i + 10, "a needle") for i in (1, 40_000, n - 1)], "drive string, record long, text string")
+    found = lambda **o: sorted(r.record - 10 for r in search.content_matches(search.Catalog(rows), bodies, SearchOptions(query="f content:needle", **o)).collect())
+    assert found() == [1, 40_000, n - 1]
+    assert found(content_candidates=50_000) == [1, 40_000]
+    assert found(content_candidates=2, descending=True) == [n - 1]
