@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of at least CANDIDATE_CHARS key characters.  The network sees the candidate and the
-text around it and was trained on labelled findings; its threshold is the highest that keeps the wanted
-recall on a calibration part.  Spans of the patterns are always reported.
+A candidate is a run of at least CANDIDATE_CHARS key characters, or of SHORT_CHARS after a key word, without
+what the patterns' spans cover of it.  The network sees the candidate, in overlapping windows if it is long
+and by its parts between separators, and the text around it.  It was trained on labelled findings; its
+threshold is the highest that keeps the wanted recall on a calibration part.  Short candidates have a network
+of their own.  Spans of the patterns are always reported.
 """
 
 from __future__ import annotations
@@ -31,12 +33,17 @@ HEX = re.compile("[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "cnn")
 
-CANDIDATE_CHARS = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % CANDIDATE_CHARS)
+CANDIDATE_CHARS, SHORT_CHARS = 20, 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % SHORT_CHARS)
+#: Parts of a candidate between separators, coarse and fine; marks that join a pattern's span to what follows.
+COARSE, FINE, JOINTS = re.compile(r"[^/.=]+"), re.compile(r"[^/._=+\-]+"), "/._-="
+KEY_WORDS = ("key", "auth", "cred", "secret", "token", "pass", "bearer")
 #: Characters that the network sees: CONTEXT before the candidate, then as much of the candidate, then after.
 CONTEXT, BODY, AFTER = 24, 48, 8
 WIDTH, KERNEL, CHANNELS, CLASSES = CONTEXT + BODY + AFTER, 5, 12, 10
 LEAST_RECALL = 0.98
+#: Characters from one window of a long candidate to the next.
+STEP = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,6 +76,18 @@ def view(text: str, start: int, end: int) -> str:
     return before + text[start : min(end, start + BODY)].ljust(BODY, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def inner_view(text: str, run: tuple[int, int], start: int, end: int) -> str:
+    """The view of a part of a run as if it stood alone, or after the name that it is assigned to."""
+    a, b = run
+    before = text[max(0, start - CONTEXT) : start] if start and text[start - 1] == "=" else text[max(0, a - CONTEXT) : a]
+    return before.rjust(CONTEXT, "\0") + text[start : min(end, start + BODY)].ljust(BODY, "\0") + text[b : b + AFTER].ljust(AFTER, "\0")
+
+
+def after_key_word(text: str, start: int) -> bool:
+    before = text[max(0, start - CONTEXT) : start].lower()
+    return any(w in before for w in KEY_WORDS)
+
+
 def one_hot(views: list[str]) -> np.ndarray:
     """Character classes of views as (view, place, class), and per view its share of changes and distinct characters."""
     codes = np.frombuffer("".join(views).encode("utf-32-le", "replace"), np.uint32).reshape(len(views), WIDTH)
@@ -84,7 +103,7 @@ def summary(views: list[str]) -> np.ndarray:
         counts = np.array([body.count(c) for c in set(body)]) / max(1, len(body))
         kinds = [c.isdigit() * 2 + c.isupper() for c in body]
         before = v[:CONTEXT].lower()
-        out[i] = -(counts * np.log2(counts)).sum() / 5, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(body)), sum(c in "aeiouAEIOU" for c in body) / max(1, len(body)), any(w in before for w in ("key", "auth", "cred", "secret", "token", "pass", "bearer"))
+        out[i] = -(counts * np.log2(counts)).sum() / 5, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(body)), sum(c in "aeiouAEIOU" for c in body) / max(1, len(body)), any(w in before for w in KEY_WORDS)
     return out
 
 
@@ -97,6 +116,8 @@ class Network:
     weights: np.ndarray
     bias: float
     threshold: float = 0.5
+    #: The network of short candidates; None: they are judged by this one.
+    short: Network | None = None
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         patches = np.lib.stride_tricks.sliding_window_view(x, KERNEL, axis=1).reshape(len(x), WIDTH - KERNEL + 1, CLASSES * KERNEL)
@@ -144,6 +165,37 @@ def labelled_findings(n: int, seed: int = 11) -> tuple[list[tuple[str, int, int]
     return findings, np.array(labels, float)
 
 
+def short_findings(n: int, seed: int = 17) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Labelled findings of SHORT_CHARS to CANDIDATE_CHARS - 1 characters, all of them after a key word."""
+    rng = random.Random(seed)
+    letters = lambda k, abc: "".join(rng.choice(abc) for _ in range(k))
+    syllable = lambda: rng.choice("bcdfghlmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "an", "er", "in", "on", "th"])
+    word = lambda k: "".join(syllable() for _ in range(k))
+    length = lambda: rng.randint(SHORT_CHARS, CANDIDATE_CHARS - 1)
+    alnum = string.ascii_letters + string.digits
+
+    def secret() -> str:
+        return [
+            lambda: letters(length() - 1, alnum) + rng.choice(string.digits), lambda: letters(length() - 1, string.ascii_lowercase + string.digits) + rng.choice(string.digits),
+            lambda: letters(length() - 1, "0123456789abcdef") + rng.choice("abcdef"), lambda: letters(length(), alnum + "+/_-"), lambda: word(rng.randint(3, 5)).capitalize() + letters(rng.randint(2, 4), string.digits),
+        ][rng.randrange(5)]()
+
+    def harmless() -> str:
+        return [
+            lambda: word(rng.randint(4, 7)), lambda: word(rng.randint(4, 7)).capitalize(), lambda: word(rng.randint(4, 7)).upper(), lambda: word(2) + rng.choice("-_./") + word(rng.randint(2, 4)), lambda: "." * length(), lambda: word(4) + ".",
+            lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: word(3) + rng.choice([".txt", ".py", ".json", ".md"]),
+        ][rng.randrange(8)]()
+
+    findings, labels = [], []
+    for _ in range(n):
+        label = rng.random() < 0.5
+        body = (secret() if label else harmless())[: CANDIDATE_CHARS - 1].ljust(SHORT_CHARS, "a")
+        head = " ".join(word(rng.randint(1, 4)) for _ in range(4)) + " " + rng.choice(["", "the ", "my ", "new "]) + rng.choice([*KEY_WORDS, "Authorization: Bearer", "credentials", "passphrase", "API key"]) + rng.choice([" ", ": ", "=", " -> ", ' "', " is ", " of "])
+        findings.append((f"{head}{body}{rng.choice(['', '.', ',', chr(34)])} {word(3)}", len(head), len(head) + len(body)))
+        labels.append(label)
+    return findings, np.array(labels, float)
+
+
 def train(findings: list[tuple[str, int, int]], labels: np.ndarray, rounds: int = 6, least_recall: float = LEAST_RECALL) -> Network:
     """Adam on the logistic loss over the first three quarters; the threshold comes from the rest."""
     rng = np.random.default_rng(5)
@@ -181,27 +233,84 @@ def train(findings: list[tuple[str, int, int]], labels: np.ndarray, rounds: int
 @functools.lru_cache(maxsize=1)
 def network() -> Network:
     """The default network; a process trains it once, from fixed seeds, in a few seconds."""
-    return train(*labelled_findings(2400))
+    net = train(*labelled_findings(2400))
+    net.short = train(*short_findings(2400))
+    return net
+
+
+def uncovered(a: int, b: int, found: list[tuple[int, int, int]], text: str) -> list[tuple[int, int]]:
+    """What the spans found leave of [a, b), without the marks that join it to them."""
+    out, at = [], a
+    for s, _, e in [*sorted(x for x in found if x[0] < b and a < x[2]), (b, 0, b)]:
+        lo, hi = at, min(s, b)
+        while lo > a and lo < hi and text[lo] in JOINTS:
+            lo += 1
+        while hi < b and lo < hi and text[hi - 1] in JOINTS:
+            hi -= 1
+        if hi - lo >= SHORT_CHARS:
+            out.append((lo, hi))
+        at = max(at, e)
+    return out
+
+
+def looks(text: str, run: tuple[int, int], a: int, b: int) -> list[tuple[str, bool, int, int]]:
+    """(view, whether it is short, start, end to report) of all that the networks judge of a candidate [a, b).
+
+    The whole of it (its first BODY characters); windows over a long one, reported up to the next separators;
+    its parts between separators.
+    """
+    out = []
+    if b - a >= CANDIDATE_CHARS:
+        out.append((view(text, a, b) if (a, b) == run else inner_view(text, run, a, b), False, a, b))
+    elif after_key_word(text, a):
+        out.append((view(text, a, b), True, a, b))
+    if b - a > BODY:
+        for s in [*range(a + STEP, b - BODY, STEP), b - BODY]:
+            lo, hi = s, s + BODY
+            while lo > a and text[lo - 1] not in "/.=":
+                lo -= 1
+            while hi < b and text[hi] not in "/.=":
+                hi += 1
+            out.append((inner_view(text, run, s, s + BODY), False, lo, hi))
+    parts = {(a + m.start(), a + m.end()) for cut in (COARSE, FINE) for m in cut.finditer(text[a:b])} - {(a, b)}
+    for s, e in sorted(parts):
+        if e - s >= CANDIDATE_CHARS:
+            out.append((inner_view(text, run, s, e), False, s, e))
+        elif e - s >= SHORT_CHARS and text[s - 1 : s] == "=" and after_key_word(text, s):
+            out.append((view(text, s, e), True, s, e))
+    return out
 
 
 def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all spans of each text, sorted; candidates that overlap a base span are not judged."""
-    spans, views, owners = [], [], []
+    """(start, kind, end) of all spans of each text, sorted; candidates are judged without what a pattern covers."""
+    spans: list[list[tuple[int, int, int]]] = []
+    views: tuple[list[str], list[str]] = ([], [])
+    owners: tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]] = ([], [])
     for i, text in enumerate(texts):
         found = base_spans(text)
-        runs = list(CANDIDATE.finditer(text))
-        for run in runs:
-            if run.end() - run.start() >= 32:
-                found += [(run.start() + m.start(), 2, run.start() + m.end()) for m in HEX.finditer(run.group())]
+        runs = [m.span() for m in CANDIDATE.finditer(text)]
+        for a, b in runs:
+            if b - a >= 32:
+                found += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(text[a:b])]
         for run in runs:
-            a, b = run.span()
-            if not any(a < e and s < b for s, _, e in found):
-                views.append(view(text, a, b))
-                owners.append((i, a, b))
+            for a, b in uncovered(*run, found, text):
+                for seen, short, s, e in looks(text, run, a, b):
+                    views[short].append(seen)
+                    owners[short].append((i, s, e))
         spans.append(found)
-    for (i, a, b), p in zip(owners, net.score(views)):
-        if p >= net.threshold:
-            spans[i].append((a, 3, b))
+    flagged: dict[int, list[tuple[int, int]]] = {}
+    for judge, seen, owner in zip((net, net.short or net), views, owners):
+        for (i, a, b), p in zip(owner, judge.score(seen)):
+            if p >= judge.threshold:
+                flagged.setdefault(i, []).append((a, b))
+    for i, parts in flagged.items():
+        joined: list[list[int]] = []
+        for a, b in sorted(parts):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        spans[i] += [(a, 3, b) for a, b in joined]
     return [sorted(s) for s in spans]
 
 
