@@ -190,6 +190,21 @@ def test_licenses():
     assert licenses.find(index, "") == []
 
 
+def test_license_families():
+    """The deciding word names the license; what is not in the list is not reported as another license."""
+    index = licenses.Index.build(licenses.TEMPLATES)
+    names = lambda text: [f[2] for f in licenses.find(index, text)]
+    gnu = "This work is licensed under the GNU {} Public License, version {}."
+    for kind, version, want in (("Lesser General", "3", ["LGPL-3.0-work"]), ("Affero General", "3", ["AGPL-3.0-work"]), ("General", "2", ["GPL-2.0-work"]), ("General", "3", ["GPL-3.0-line"]), ("General", "7", []), ("Lesser General", "2.1", ["LGPL-2.1-work"])):
+        assert names(gnu.format(kind, version)) == want
+    assert names(licenses.TEMPLATES["GPL-3.0-or-later"].replace("version 3", "version 2")) == ["GPL-2.0-or-later"]
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.") == ["CC-BY-NC-SA-4.0"]
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0-line"] and names("Licensed under CC BY-NC 9.0.") == []
+    assert names("Licensed under the MIT license or the Apache License, Version 2.0.") == ["MIT-licensed", "Apache-2.0-name"]
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "LGPL-3.0"):
+        assert names("Copyright (c) 2020 Somebody\n" + licenses.TEMPLATES[f"{name}-text"]) == [f"{name}-text"]
+
+
 def test_scans_keep_every_row(docs):
     n = docs.count()
     assert secrets.scan(docs).count() == n and licenses.scan(docs).count() == n
