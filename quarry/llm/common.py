@@ -97,6 +97,12 @@ def fold_of(id_column: Column, folds: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % folds
 
 
+def hashed_part(text: Column, key: Column, most: int) -> Column:
+    """A text of at most ``most`` characters whole; of a longer one, so many from a place by the hash of the key."""
+    room = F.greatest(F.length(text) - F.lit(most), F.lit(0)) + 1
+    return F.substring(text, F.pmod(F.xxhash64(key, F.lit(11)), room.cast("long")).cast("int") + 1, F.lit(most))
+
+
 def bounded_sample(df: DataFrame, class_col: str, key_col: str, most: int) -> tuple[DataFrame, dict]:
     """About ``most`` rows of each class, by the hash of the key, and the size of each class; a smaller class is taken whole.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import zstandard as zstd
 
@@ -12,9 +14,10 @@ class DictionaryCompressor:
     def __init__(self, dictionary: bytes, level: int = 3, min_match: int = 4, strategy: int = zstd.STRATEGY_DFAST):
         content = zstd.ZstdCompressionDict(dictionary or b"\0" * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         log = max(12, min(20, len(dictionary).bit_length() + 1))
+        tables = min(log, max(17, (len(dictionary) - 1).bit_length()))
         params = zstd.ZstdCompressionParameters(
             format=zstd.FORMAT_ZSTD1_MAGICLESS, compression_level=level, strategy=strategy, min_match=min_match,
-            window_log=log, hash_log=min(log, 17), chain_log=min(log, 17), write_content_size=False, write_checksum=False, write_dict_id=False,
+            window_log=log, hash_log=tables, chain_log=tables, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         content.precompute_compress(compression_params=params)
         self.compressor = zstd.ZstdCompressor(dict_data=content, compression_params=params)
@@ -36,6 +39,26 @@ def segment_lengths(packed) -> np.ndarray:
     return np.fromiter((len(x) for x in packed), np.int64, len(packed))
 
 
+def hashed(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+
+
+def even_pieces(texts: list[str], most: int) -> bytes:
+    """Distinct texts in ``most`` bytes, in the order of their hashes: short ones whole, of the others equal pieces.
+
+    A piece is taken at a hashed place, so that neither what texts open with nor how they sort decides.
+    """
+    raw = sorted({t.encode("utf-8", "replace") for t in texts}, key=lambda r: (hashed(r), r))
+    left, share = most, 0
+    for i, n in enumerate(sorted(map(len, raw))):
+        share = left // (len(raw) - i) - 1
+        if n > share:
+            break
+        left, share = left - n - 1, n
+    starts = [hashed(r + b"@") % (max(0, len(r) - share) + 1) for r in raw]
+    return b"\n".join(r[a : a + max(0, share)] for r, a in zip(raw, starts))
+
+
 def joined(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """UTF-8 of all texts in one buffer, with the start and the size of each."""
     raw = [t.encode("utf-8", "replace") for t in texts]

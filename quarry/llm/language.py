@@ -16,13 +16,14 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, map_texts
-from quarry.llm.compression import DictionaryCompressor, blocks, joined
+from quarry.llm.common import bounded_sample, hashed_part, map_texts
+from quarry.llm.compression import DictionaryCompressor, blocks, even_pieces, joined
 
-#: Documents sampled a language, longest training text and dictionary bytes a language; bytes of a block.
+#: Documents sampled a language, characters taken of a long one and dictionary bytes a language (some 130 a document);
+#: bytes of a block.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 16_384
-DICT_BYTES = 96_000
+DICT_BYTES = 200_000
 BLOCK_BYTES = 512
 #: An answer is accepted if it saves so many bytes, and such a share of the text, against the runner-up.
 MIN_MARGIN_BYTES = 1
@@ -51,25 +52,17 @@ def compressors(model: LanguageModel) -> list[DictionaryCompressor]:
 
 
 def interleave(texts: list[str], most: int) -> bytes:
-    """About ``most`` bytes of distinct texts: equal shares of each, so that no text fills the dictionary."""
-    texts = sorted({folded(t) for t in texts})
-    if not texts:
-        return b""
-    share, out, size = max(128, 2 * most // len(texts)), [], 0
-    for text in texts:
-        piece = text.encode()[:share]
-        out.append(piece)
-        size += len(piece) + 1
-    return b"\n".join(out)[-most:]
+    """At most ``most`` bytes of all distinct texts: an equal share of each, so that no text fills the dictionary."""
+    return even_pieces([folded(t) for t in texts], most)
 
 
 def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn dictionaries from a bounded sample of the rows where ``train`` holds and the label isn't null."""
     rows = docs.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).alias("key"))
-    rows = rows.where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.where(F.length("text") > 0)
     by: dict[str, list[str]] = {}
     sample, counts = bounded_sample(rows, "lang", "key", sample_docs)
-    for text, lang in sample.select("text", "lang").collect():
+    for text, lang in sample.select(hashed_part(F.col("text"), F.col("key"), SAMPLE_CHARS), "lang").collect():
         by.setdefault(lang, []).append(text)
     return LanguageModel(tuple((lang, interleave(by[lang], DICT_BYTES)) for lang in sorted(by, key=lambda x: (-counts[x], x))))
 

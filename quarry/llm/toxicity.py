@@ -19,10 +19,10 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, map_texts
-from quarry.llm.compression import DictionaryCompressor, joined, word_windows
+from quarry.llm.common import bounded_sample, hashed_part, map_texts
+from quarry.llm.compression import DictionaryCompressor, even_pieces, joined, word_windows
 
-#: Labelled documents sampled a class and the longest of them; longer ones are left out of training only.
+#: Labelled documents sampled a class, and characters taken of a long one for training.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 8192
 #: Bytes of a window; of the base; of the added substrings.  Lengths of substrings in bytes.
@@ -104,9 +104,7 @@ def marked(have: Counter, rest: Counter, scale: float) -> list[bytes]:
 
 def base_of(texts: list[str]) -> bytes:
     """Ordinary text for both dictionaries: an equal share of each distinct text."""
-    texts = sorted({folded(t) for t in texts})
-    share = max(64, BASE_BYTES // max(1, len(texts)))
-    return b"\n".join(t.encode()[:share] for t in texts)[:BASE_BYTES]
+    return even_pieces([folded(t) for t in texts], BASE_BYTES)
 
 
 @functools.lru_cache(maxsize=4)
@@ -189,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text_col: str =
     """
     known = labels.where(train_rows).select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     sample, counts = bounded_sample(known, "label", "key", sample_docs)
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    found = rows.join(F.broadcast(sample), "key").select("label", "text").collect()
+    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    found = rows.join(F.broadcast(sample), "key").select("label", hashed_part(F.col("text"), F.col("key"), SAMPLE_CHARS)).collect()
     by = {label: sorted({r[1] for r in found if r[0] == label}, key=lambda t: hash_key(t)) for label in (0, 1)}
     return train(by[1], by[0], (max(1, counts.get(1, 0)), max(1, counts.get(0, 0))))
 

@@ -240,6 +240,20 @@ def test_language_held_out(spark):
     assert language.predict(model, ["", "12 34 !", "x"])[0][:2] == ["und", "und"]
 
 
+def test_dictionaries_hold_a_piece_of_every_text(spark):
+    """However a text sorts, opens or how long it is: of the same letterhead only a share is taken."""
+    rng = np.random.default_rng(4)
+    texts = ["letterhead " * 12 + " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)) for _ in range(1500)]
+    learnt = language.interleave(texts, language.DICT_BYTES), toxicity.base_of(texts)
+    for dictionary, least in zip(learnt, (100, 25)):
+        pieces = dictionary.decode().split("\n")
+        assert len(pieces) == len(texts) and min(map(len, pieces)) >= least
+        assert np.mean(["letterhead" in p for p in pieces]) < 0.5
+    rows = spark.createDataFrame([(i, " ".join(texts[i : i + 40]), "long") for i in range(20)] + [(100 + i, texts[i], "short") for i in range(5)], "doc_id long, text string, lang string")
+    model = language.fit(rows, F.lit(True))
+    assert [n for n, d in model.dictionaries if d] == ["long", "short"]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     model = toxicity_model(spark, sf)
