@@ -226,7 +226,7 @@ def train(findings: list[tuple[str, int, int]], labels: np.ndarray, rounds: int
                 q -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     net.bias = float(params[3][0])
     held = np.sort(net.score(views[cut:])[labels[cut:] == 1])
-    net.threshold = max(0.5, float(held[int((1 - least_recall) * len(held))])) if len(held) else 0.5
+    net.threshold = float(held[int((1 - least_recall) * len(held))]) if len(held) else 0.5
     return net
 
 

@@ -155,6 +155,17 @@ def test_secret_network_on_unseen_findings():
     assert (p[labels == 1] >= net.threshold).mean() > 0.93 and (p[labels == 0] >= net.threshold).mean() < 0.03
 
 
+def test_secret_threshold_keeps_the_recall():
+    """Findings whose labels can't be told from the text: the threshold goes as low as the recall asks for."""
+    findings, labels = secrets.labelled_findings(800, seed=3)
+    rng = np.random.default_rng(8)
+    labels = (rng.random(len(labels)) < 0.25).astype(float)
+    net = secrets.train(findings, labels, rounds=2)
+    held = slice(len(findings) * 3 // 4, None)
+    p = net.score([secrets.view(*f) for f in findings[held]])
+    assert (p[labels[held] == 1] >= net.threshold).mean() >= secrets.LEAST_RECALL
+
+
 def test_secret_parts_of_runs():
     """What a pattern leaves of a run, a key at the end of a long harmless chain, and short keys are found whole."""
     net = secrets.network()
