@@ -82,7 +82,9 @@ def word_windows(data: bytes, starts: np.ndarray, sizes: np.ndarray, most: int)
     """
     raw = np.frombuffer(data, np.uint8)
     space = np.append(np.flatnonzero(raw <= 32), len(raw))
-    owner, cut, _ = blocks(starts, sizes, most)
+    owner, cut, size = blocks(starts, sizes, most)
+    if not len(owner):
+        return owner, cut, size
     at = space[np.searchsorted(space, cut)]
     first = cut == starts[owner]
     begin = np.where(first, cut, np.minimum(at, starts[owner] + sizes[owner]))
