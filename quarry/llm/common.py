@@ -11,13 +11,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts into one Arrow batch; texts are processed in slices of SLICE_CHARS.
-BATCH_ROWS = 512
-SLICE_CHARS = 4_000_000
+#: Bytes that Spark puts into one Arrow batch, the same for every operator; bytes of text that are processed at a time.
+BATCH_BYTES = "8m"
+SLICE_BYTES = 2_000_000
 
 _local_dir: list[str] = []
 
@@ -61,21 +63,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: texts are long, and a batch is held whole by a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes of an Arrow batch: texts are long, and a batch is held whole by a Python worker.
 
+    Every operator sets the same value, so lazily run results don't depend on which one came last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold SLICE_BYTES at most (a longer text stands alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
-def slices(batch: pa.RecordBatch, text_column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch whose texts hold SLICE_CHARS characters at most (a longer text stands alone)."""
-    texts = [t or "" for t in batch.column(text_column).to_pylist()]
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > SLICE_CHARS:
-            yield batch.slice(begin, i - begin), texts[begin:i]
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """text_slices, each with its texts (null: empty)."""
+    for part in text_slices(batch, column):
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, fn: Callable[[pa.Array, list[str]], dict], schema: str) -> DataFrame:
@@ -85,13 +94,26 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fn: Callable[[pa.Arra
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, "text"):
-                out = fn(part.column("id"), texts)
+            for part, texts in slices(batch, 1):
+                out = fn(part.column(0), texts)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch]) -> DataFrame:
+    """Apply fn(rows, texts, place of the text column) to slices of whole rows; the columns stay what they are."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                yield fn(part, texts, at)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(id_column: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds (null id: null)."""
     return F.crc32(id_column.cast("string").cast("binary")) % folds

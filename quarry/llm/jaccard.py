@@ -84,7 +84,7 @@ def over_texts(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) ->
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(fn(part, texts), names=names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).mapInArrow(run, schema)

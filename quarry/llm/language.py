@@ -11,12 +11,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, hashed_part, map_texts
+from quarry.llm.common import bounded_sample, hashed_part, map_rows, map_texts
 from quarry.llm.compression import DictionaryCompressor, blocks, even_pieces, joined
 
 #: Documents sampled a language, characters taken of a long one and dictionary bytes a language (some 130 a document);
@@ -114,10 +114,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows whose language is accepted, with all their columns."""
+    """The rows whose language is accepted, with all their columns.
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(model, [t or "" for t in texts])[2])
-
-    return docs.where(accepted(F.col(text_col)))
+    Null and empty texts go, as do texts without a letter; of repeated rows all stay or go; an empty table gives
+    no rows, and columns of any name stay as they are.
+    """
+    return map_rows(docs, text_col, lambda rows, texts, _: rows.filter(pa.array(predict(model, texts)[2])))

@@ -41,7 +41,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, 1):
                 media = jpeg.encode_many([payload(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 

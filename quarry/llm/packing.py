@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, small_batches, stage_table
+from quarry.llm.common import small_batches, stage_table
 from quarry.llm.tokens import encoder
 
 #: Nodes the search may visit for one filling, and alternatives it may try over a whole packing.
@@ -176,24 +176,32 @@ def token_pieces(docs: DataFrame, vocab_path: str, end_id: int, capacity: int, i
     names = ["piece", "start", "length", "ids_crc32", "part", "rank"]
 
     def run(batches):
-        part, lib, tail = TaskContext.get().partitionId(), encoder(vocab_path), np.array([end_id], "<u4").tobytes()
+        part, lib = TaskContext.get().partitionId(), encoder(vocab_path)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
-                owner, out = [], []
-                for i, ids in enumerate(lib.encode_batch(texts)):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        n = len(piece) // 4
-                        owner.append(i)
-                        out.append((k, at // 4, n, zlib.crc32(piece), part, seen[n]))
-                        seen[n] += 1
-                arrays = [pa.array(np.array(c, np.int64)) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(owner)), *arrays], names=[id_col, *names])
+            ids, stops = lib.encode(batch.column(1))
+            ids = memoryview(np.insert(ids.astype("<u4"), stops, end_id).tobytes())
+            ends = stops + np.arange(1, len(stops) + 1)
+            sizes = np.diff(ends, prepend=0)
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[owner] - start)
+            at = (ends - sizes)[owner] + start
+            crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            # The rank of a piece: those of its length in earlier batches, and before it in this one.
+            order = np.argsort(length, kind="stable")
+            run_of = np.searchsorted(length[order], length[order], "left")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - run_of
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            numbers = [piece.astype(np.int32), start, length, np.array(crcs, np.int64), np.full(len(owner), part), rank]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *map(pa.array, numbers)], names=[id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stage_table(rows.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{n} long" for n in names)), "pieces")
+    return stage_table(rows.mapInArrow(run, f"{id_col} {kind}, piece int, " + ", ".join(f"{n} long" for n in names[1:])), "pieces")
 
 
 def assign(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
@@ -222,12 +230,13 @@ def assign(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFram
                 f = np.searchsorted(first, rank[rows], "right") - 1
                 step, slot = np.divmod(rank[rows] - first[f], uses[f])
                 sequence[rows], offset[rows] = start[f] + step, at[f] + slot * n
-            columns = [batch.column(n) for n in names[:5]] + [pa.array(sequence), pa.array(offset)]
+            columns = [batch.column(k) for k in range(5)] + [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = pieces.schema[id_col].dataType.simpleString()
-    ranked = pieces.join(counts.select("length", "part", "before"), ["length", "part"]).select(*names[:5], (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    # Counts grow with the corpus (a row for each length and part), so they are merged, never broadcast.
+    ranked = pieces.hint("merge").join(counts.select("length", "part", "before").hint("merge"), ["length", "part"]).select(*names[:5], (F.col("rank") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(run, f"{id_col} {kind}, piece int, " + ", ".join(f"{n} long" for n in names[2:]))
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

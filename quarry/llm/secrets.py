@@ -17,11 +17,10 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.common import map_texts
+from quarry.llm.common import map_rows, map_texts
 
 # The base patterns and the least length of what they capture.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -340,7 +339,11 @@ def scan(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", te
 
 
 def redact(docs: DataFrame, net: Network | None = None, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The table with every span replaced by ``mask``; overlapping spans count as one.  Null texts stay null."""
+    """The table with every span replaced by ``mask``; overlapping spans count as one.
+
+    Null texts stay null; repeated rows stay repeated; an empty table gives no rows, and columns of any name
+    stay as they are.
+    """
     net = net or network()
 
     def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -351,9 +354,9 @@ def redact(docs: DataFrame, net: Network | None = None, text_col: str = "text",
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        plain = [t or "" for t in texts]
-        return texts.where(texts.isna(), [masked(t, s) for t, s in zip(plain, find(plain, net))])
+    def clean(rows: pa.RecordBatch, texts: list[str], at: int) -> pa.RecordBatch:
+        nulls = rows.column(at).is_null().to_pylist()
+        out = pa.array([None if n else masked(t, s) for n, t, s in zip(nulls, texts, find(texts, net))], rows.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([out if i == at else rows.column(i) for i in range(rows.num_columns)], schema=rows.schema)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return map_rows(docs, text_col, clean)

@@ -1,95 +1,139 @@
-"""Token ids by the tokenizers library, remembered by white-space word; digests and packed id files.
+"""Token ids by the tokenizers library, remembered by word; digests and packed id files.
 
 The library encodes words, not whole texts: no piece of these vocabularies crosses white space, so the ids of
 a text are those of its words in turn.  Nor does one cross from letters to a mark, so "Word," is remembered as
-"word", and letters alone need only the library's model, without its normaliser and its splitting.  A text that
-holds a special token's string goes to the library whole.
+"word".  Texts are split, and their distinct words found, on the Arrow buffers of a batch; only distinct words
+become Python strings, and the ids of all words are gathered in one step.  A text that holds a special
+token's string goes to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, small_batches, stage_table
-from quarry.llm.wordbpe import WordCache, byte_letters, words_of
-
+from quarry.llm.common import small_batches, stage_table
+from quarry.llm.wordbpe import WordCache
 
 #: A word of letters and one of these is two pieces.
 MARKS = ".,;:!?"
-#: New words that the library gets as one text.
-JOINED_WORDS = 2000
-
-
-def letters_of(word: str) -> str:
-    """The word in lower case without its last mark, if that is one piece of letters; else nothing."""
-    stem = word[:-1] if word[-1] in MARKS else word
-    if not stem.isalpha():
-        return ""
-    low = stem.lower()
-    return low if stem.isascii() or ("Σ" not in stem and is_normalized("NFC", stem) and low.isalpha()) else ""
+#: Letters that every Unicode version folds alike, one by one, and that no letter before them composes with.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN_WORD, PLAIN_PIECE = f"^[{LETTERS}]+[{MARKS}]?$", re.compile(f"[{LETTERS}]+")
+#: White space (by the Unicode property) outside ASCII.
+WIDE_SPACES = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: New words, and new pieces of letters, that the library gets as one text.
+JOINED_WORDS, JOINED_PIECES = 2000, 200
 
 
 class LibraryEncoder:
-    """uint32 little-endian ids of texts, by the tokenizers library behind a word cache."""
+    """Ids of texts by the tokenizers library behind a word cache."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.letters = (Tokenizer.from_file(path) for _ in range(2))
+        for t in (self.tokenizer, self.letters):
+            t.no_padding()
+            t.no_truncation()
+        # Pieces of folded letters need neither the normaliser nor the splitting by kinds of characters.
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
+        self.special_start = os.path.commonprefix(self.special)
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.cache, self.pieces = WordCache(self.whole), WordCache(self.whole)
-        self.marks = {m: self.whole(m) for m in MARKS}
-        self.letter_of = dict(enumerate(byte_letters()))
+        self.kind = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
+        self.cache = WordCache(self.whole)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_piece = np.zeros(self.vocab_size, bool)
+        self.ends_piece[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
+        #: The marks, and the ids of each (and of none).
+        self.marks, self.mark_ids = pa.array(list(MARKS)), pa.array([*map(self.whole, MARKS), b""], pa.binary())
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of words without special tokens into the cache; a special token keeps them apart in one text."""
-        for i in range(0, len(words), JOINED_WORDS):
-            some = words[i : i + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * np.flatnonzero(ids == self.apart_id)
-            raw = ids.tobytes()
-            for word, start, end in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
-                self.cache.put(word, raw[start:end])
-
-    def learn_pieces(self, pieces: set[str]) -> None:
-        """Put the ids of pieces of lower-case letters into the cache."""
-        tokenize, put = self.tokenizer.model.tokenize, self.pieces.put
-        for piece in pieces:
-            ids = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letter_of))]
-            put(piece, struct.pack(f"<{len(ids)}I", *ids))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        words = [words_of(t) if p else [] for t, p in zip(texts, plain)]
-        cache, pieces = self.cache, self.pieces
-        letters = {w: letters_of(w) for w in {w for ws in words for w in ws if w not in cache and w not in cache.old}}
-        self.learn_pieces({s for s in letters.values() if s and s not in pieces and s not in pieces.old})
-        self.learn([w for w, s in letters.items() if not s])
-        for word, piece in letters.items():
-            if piece:
-                cache.put(word, pieces[piece] + self.marks.get(word[-1], b""))
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) if p else self.whole(t) for t, p, ws in zip(texts, plain, words)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, tokenizer, words: list[str], joint: str, cut: np.ndarray, gap: int) -> list[bytes]:
+        """Ids of the words as one text, joined by ``joint``; cut[id] tells the ids that end a word (or stand between, with a gap)."""
+        ids = np.array(tokenizer.encode_batch_fast([joint.join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(cut[ids])
+        if gap:
+            ends = np.append(ends, len(ids))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        stops, raw, size = ends + 1 - gap, ids.tobytes(), self.kind.itemsize
+        return [raw[size * a : size * b] for _, a, b in zip(words, starts.tolist(), stops.tolist(), strict=True)]
+
+    def learn_all(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without special tokens; long ones one by one, so that a text of them stays small."""
+        pieces = [w for w in words if PLAIN_PIECE.fullmatch(w)]
+        rest = [w for w in words if not PLAIN_PIECE.fullmatch(w)]
+        out: dict[str, bytes] = {}
+        for i in range(0, len(pieces), JOINED_PIECES):
+            some = pieces[i : i + JOINED_PIECES]
+            out.update(zip(some, self.learn(self.letters, some, " ", self.ends_piece, 0)))
+        between = np.arange(self.vocab_size) == self.apart_id
+        for i in range(0, len(rest), JOINED_WORDS):
+            some = rest[i : i + JOINED_WORDS]
+            out.update(zip(some, self.learn(self.tokenizer, some, self.apart, between, 1)))
+        return out
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, folded if they are letters alone, out of the cache or learnt."""
+        cache, old = self.cache, self.cache.old
+        found = list(map(cache.get, words))
+        absent = [i for i, x in enumerate(found) if x is None]
+        learnt = self.learn_all([words[i] for i in absent if words[i] not in old])
+        for i in absent:
+            found[i] = value = learnt[words[i]] if words[i] in learnt else old[words[i]]
+            cache.put(words[i], value)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in one array, and where each text's ids end."""
+        texts = pc.fill_null(texts, "")
+        aside = pc.match_substring(texts, self.special_start)
+        if pc.any(aside).as_py():
+            aside = functools.reduce(pc.or_, (pc.match_substring(texts, s) for s in self.special))
+        special = np.flatnonzero(aside.to_numpy(zero_copy_only=False)).tolist()
+        raw = [texts[i].as_py() for i in special]
+        if special:
+            texts = pc.if_else(aside, "", texts)
+        if pc.any(pc.match_substring_regex(texts, WIDE_SPACES)).as_py():
+            texts = pc.replace_substring_regex(texts, WIDE_SPACES, " ")
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        # Words of letters, with or without a mark, are looked up as folded letters.
+        plain = pc.match_substring_regex(distinct, PLAIN_WORD)
+        stems = pc.if_else(plain, pc.ascii_rtrim(pc.utf8_lower(distinct), characters=MARKS), distinct).dictionary_encode()
+        of_stem = pa.array(self.ids_of(stems.dictionary.to_pylist()), pa.binary())
+        mark = pc.index_in(pc.if_else(plain, pc.utf8_slice_codeunits(distinct, -1), ""), self.marks).fill_null(len(MARKS))
+        of_word = pc.binary_join_element_wise(of_stem.take(stems.indices), self.mark_ids.take(mark), b"")
+        every = of_word.take(coded.indices)
+        ends = np.frombuffer(every.buffers()[1], np.int32, len(every) + 1) // self.kind.itemsize
+        ids = np.frombuffer(every.buffers()[2] or b"", self.kind, ends[-1])
+        stops = ends[words.offsets.to_numpy(zero_copy_only=False)[1:]].astype(np.int64)
+        if special:
+            parts = np.split(ids, stops[:-1])
+            for i, text in zip(special, raw):
+                parts[i] = np.frombuffer(self.whole(text), self.kind)
+            ids, stops = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, stops
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,47 +215,77 @@ class IdFile:
 FILE_IDS = 1 << 18
 
 
+def key_ranges(docs: DataFrame, keys: list[str]) -> tuple[int, list[tuple]]:
+    """Range partitions of the keys: how many, and the least key of each but the first."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.select(*keys).repartitionByRange(n, *keys)
+    firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("k")).collect()
+    return n, [tuple(r.k) for r in sorted(firsts, key=lambda r: r.p)][1:]
+
+
+def ordered_key(key: tuple) -> tuple:
+    """A key whose null id comes first."""
+    return (key[0] is not None, *([] if key[0] is None else [key[0]]), *key[1:])
+
+
 def write_id_files(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all documents in ascending id order (null ids first, ties by text) into packed files.
+    """Encode all documents into packed files, in ascending id order (null ids first, ties by the text's length and hash).
 
     The files are the ``file`` column of a Parquet table in the shared folder: (part, seq, first, n_ids, ids of
-    the documents, file), where ``first`` counts the ids before the file within its range partition.  Documents
-    are range-partitioned by id, so order needs no single task.
+    the documents, file), where ``first`` counts the ids before the file within its range partition.  Texts are
+    encoded where they are read; what moves is their ids.  Ranges are cut by (id, length, hash), so neither
+    order nor rows of one id need a single task.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-
-    def run(batches):
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    keys = ["id", "chars", "hash"]
+    n, firsts = key_ranges(rows, keys)
+    bounds = [ordered_key(k) for k in firsts]
+
+    def encode(batches):
+        lib = encoder(vocab_path)
+        tail = np.array([end_id], lib.kind if end_id < 1 << 8 * lib.kind.itemsize else "<u4")
+        for batch in batches:
+            ids, stops = lib.encode(batch.column(3))
+            ids = np.insert(ids.astype(tail.dtype, copy=False), stops, tail[0])
+            ends = (stops + np.arange(1, len(stops) + 1)) * tail.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            places = [bisect_right(bounds, ordered_key(k)) for k in zip(*(batch.column(c).to_pylist() for c in range(3)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), packed, pa.array(places, pa.int32())], names=[*keys, "ids", "part"])
+
+    def write(batches):
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        lib, tail = encoder(vocab_path), struct.pack("<I", end_id)
-        keys, chunks, size = [], [], 0
+        lib = encoder(vocab_path)
+        unit = np.dtype(lib.kind if end_id < 1 << 8 * lib.kind.itemsize else "<u4")
+        names, chunks, size = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(chunks), "<u4")
-            lengths = np.array([len(c) // 4 for c in chunks], np.int64)
+            ids = np.frombuffer(b"".join(chunks), unit).astype(np.uint32)
+            lengths = np.array([len(c) // unit.itemsize for c in chunks], np.int64)
             blob = IdFile.write(ids, lengths, max(lib.vocab_size, end_id + 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([blob], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([names], pa.list_(key_type)), pa.array([blob], pa.binary())],
                 names=["part", "seq", "first", "n_ids", "keys", "file"],
             )
 
         for batch in batches:
-            key_type = batch.column("id").type
-            for rows, texts in slices(batch, "text"):
-                for key, ids in zip(rows.column("id").to_pylist(), lib.encode_batch(texts)):
-                    keys.append(key)
-                    chunks.append(ids + tail)
-                    size += len(ids) // 4 + 1
-                    if size >= FILE_IDS:
-                        yield flush()
-                        seq, before = seq + 1, before + size
-                        keys, chunks, size = [], [], 0
-        if keys:
+            key_type = batch.column(0).type
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names.append(key)
+                chunks.append(ids)
+                size += len(ids) // unit.itemsize
+                if size >= FILE_IDS:
+                    yield flush()
+                    seq, before = seq + 1, before + size
+                    names, chunks, size = [], [], 0
+        if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return stage_table(ordered.mapInArrow(run, f"part int, seq int, first long, n_ids long, keys array<{kind.simpleString()}>, file binary"), "ids")
+    encoded = rows.mapInArrow(encode, f"id {kind}, chars long, hash long, ids binary, part int")
+    ordered = encoded.repartitionById(n, "part").sortWithinPartitions(*keys, "ids").select("id", "ids")
+    return stage_table(ordered.mapInArrow(write, f"part int, seq int, first long, n_ids long, keys array<{kind}>, file binary"), "ids")
 
 
 def read_id_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -224,17 +298,18 @@ def read_id_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base, so_far = {}, 0
     for part, n in totals:
         base[part], so_far = so_far, so_far + n
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    small_batches(files.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part, first, keys, data in zip(*(batch.column(n).to_pylist() for n in ("part", "first", "keys", "file"))):
+            for i in range(batch.num_rows):
+                part, first, data = (batch.column(n)[i].as_py() for n in ("part", "first", "file"))
                 f = IdFile.open(data)
-                ids = f.read(0, f.n_ids).astype("<u4").tobytes()
+                ids = memoryview(f.read(0, f.n_ids).astype("<u4").tobytes())
                 ends = np.cumsum(f.lengths)
                 starts = ends - f.lengths
                 crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("keys").type.value_type), pa.array(starts + first + base[part]), pa.array(f.lengths), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(starts + first + base[part]), pa.array(f.lengths), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(run, f"{id_col} {key}, start long, n_tokens long, ids_crc32 long")
 

@@ -14,12 +14,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, hashed_part, map_texts
+from quarry.llm.common import bounded_sample, hashed_part, map_rows, map_texts
 from quarry.llm.compression import DictionaryCompressor, even_pieces, joined, word_windows
 
 #: Labelled documents sampled a class, and characters taken of a long one for training.
@@ -220,10 +220,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows that score under 0.5, with all their columns."""
+    """The rows that score under 0.5, with all their columns.
 
-    @F.pandas_udf("boolean")
-    def ordinary(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(model, [t or "" for t in texts]) < 0.5)
-
-    return docs.where(ordinary(F.col(text_col)))
+    Null and empty texts have the score of a text that saves nothing; of repeated rows all stay or go; an empty
+    table gives no rows, and columns of any name stay as they are.
+    """
+    return map_rows(docs, text_col, lambda rows, texts, _: rows.filter(pa.array(predict(model, texts) < 0.5)))
