@@ -9,7 +9,7 @@ the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -22,130 +22,240 @@ from pyspark.sql import functions as F
 from quarry.llm.common import small_batches, stage_table
 from quarry.llm.tokens import encoder
 
-#: Nodes the search may visit for one filling, and alternatives it may try over a whole packing.
+#: Nodes that the search may visit over a whole packing, and in looking for the fillings of one sequence; fillings
+#: that it branches over at a step.  None lifts a limit: the packing is then the best there is, whatever it takes.
+SEARCH_NODES = 100_000
 FILLING_NODES = 4000
-RESTARTS = 12
+BRANCHES = 8
+
+#: Lengths that share a sequence: (length, pieces of it), longest first.
+Runs = tuple[tuple[int, int], ...]
 
 
 @dataclass
 class Packing:
+    """Fillings with the number of sequences that have each, and a bound that no packing of these lengths is under."""
+
     capacity: int
-    fillings: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    fillings: list[tuple[Runs, int]] = field(default_factory=list)
+    least: int = 0
 
     @property
     def sequences(self) -> int:
         return sum(n for _, n in self.fillings)
 
-
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: by the total, and by the pieces that no two of fit together."""
-    return max(-(-sum(l * n for l, n in counts.items()) // capacity), sum(n for l, n in counts.items() if 2 * l > capacity))
+    @property
+    def gap(self) -> int:
+        """Sequences that a better packing could save at most; 0: this one is optimal."""
+        return self.sequences - self.least
 
 
-def completions(lengths: np.ndarray, counts: dict[int, int], room: int, nodes: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, found by branch and bound.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs.
 
-    The incumbent is the best fit (the largest piece that fits, again and again).  Branches take runs of equal
-    pieces in descending order, on a stack of our own: a filling may have as many pieces as ``room``.  A branch
-    is cut when even all the pieces left for it cannot bring its waste under the worst one kept.  A filling that leaves room for a piece still at hand is dominated by the one with that piece,
-    and one that splits what a single piece at hand would fill exactly is dominated by that piece, so neither
-    is listed.
+    For each length k: pieces over half a sequence have one each, and those of k and more that are no longer
+    than half fill what room the ones up to capacity - k leave, before they need sequences of their own.
+    """
+    number = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        number[length] += n
+    upto, total = np.cumsum(number), np.cumsum(number * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    large = upto[capacity - k] - upto[half]
+    room = large * capacity - (total[capacity - k] - total[half])
+    below = np.concatenate([[0], total])[k]
+    more = -(-(total[half] - below - room) // capacity)
+    return int(upto[capacity] - upto[half] + max(0, more.max()))
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Packing:
+    """Best-fit decreasing: each piece, longest first, goes where it leaves least room.  Equal sequences move together."""
+    groups: dict[int, list[tuple[Runs, int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, runs: Runs, n: int) -> None:
+        if n:
+            if room not in groups:
+                groups[room] = []
+                insort(rooms, room)
+            groups[room].append((runs, n))
+
+    for length in sorted(counts, reverse=True):
+        left, filled = counts[length], []
+        at = bisect_left(rooms, length)
+        while left and at < len(rooms):
+            room = rooms[at]
+            runs, n = groups[room].pop()
+            each = room // length
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            filled += [(room - each * length, (*runs, (length, each)), full), (room - rest * length, (*runs, (length, rest)), 1)][: 1 + (rest > 0)]
+            left -= full * each + rest
+            if n - full - (rest > 0):
+                groups[room].append((runs, n - full - (rest > 0)))
+            if not groups[room]:
+                del groups[room], rooms[at]
+        for group in filled:
+            put(*group)
+        each = capacity // length
+        put(capacity - each * length, ((length, each),), left // each)
+        if left % each:
+            put(capacity - left % each * length, ((length, left % each),), 1)
+    return Packing(capacity, [g for room in rooms for g in groups[room]])
+
+
+def spread(sums: int, length: int, n: int) -> int:
+    """A bitmap of sums, each with up to ``n`` times a length added."""
+    step = 1
+    while n > 0:
+        step = min(step, n)
+        sums |= sums << length * step
+        n, step = n - step, 2 * step
+    return sums
+
+
+def dominated(runs: Runs, waste: int, spare: int) -> bool:
+    """Whether a filling with some of its pieces (or none) replaced by one spare piece, no smaller than they are, still fits.
+
+    Such a filling can take this one's place in any packing.  ``spare`` is a bitmap of the lengths left over.
+    Bitmaps of sums cover all subsets: of any size with a larger piece in their place, of two and more pieces
+    with one of their very sum.
+    """
+    every, one, several = 1, 0, 0
+    for length, n in runs:
+        several = spread(several, length, n) | spread(one << length, length, n - 1) | (spread(1 << 2 * length, length, n - 2) if n > 1 else 0)
+        one |= 1 << length
+        every = spread(every, length, n)
+    larger, width = every << 1 if waste else 0, 1
+    while width < waste:
+        step = min(width, waste - width)
+        larger, width = larger | larger << step, width + step
+    return bool((larger | several) & spare)
+
+
+def completions(sizes: list[int], have: list[int], room: int, slack: int, most: int | None, nodes: int | None) -> tuple[list[tuple[int, Runs]], int]:
+    """Undominated fillings of ``room`` that waste no more than ``slack``, least waste first, and the nodes visited.
+
+    Runs of equal pieces are taken in descending order of length, on a stack of our own: a filling may have as
+    many pieces as ``room``.  A branch is cut when even all the pieces left for it leave more waste than allowed, or
+    than the worst one of ``most`` fillings kept.
     """
-    sizes = [int(x) for x in lengths if counts[int(x)]]
-    have = [counts[x] for x in sizes]
     reach = [0, *accumulate(x * n for x, n in zip(sizes, have))]
-    found: list[tuple[int, tuple[int, ...]]] = []
+    spare = sum(1 << x for x, n in zip(sizes, have) if n)
+    found: list[tuple[int, int, Runs]] = []
     #: Runs taken so far, as [index of the length, pieces of it, room before them].
     runs: list[list[int]] = []
-    limit = len(sizes) - 1
-
-    def record(waste: int, *last: int) -> None:
-        found.append((waste, tuple(x for i, k, _ in runs for x in [sizes[i]] * k) + last))
-        found.sort()
-        del found[most:]
-
-    def too_much(room: int, below: int) -> bool:
-        """Even all the pieces of the first ``below`` lengths leave no less waste than the worst one kept."""
-        return len(found) >= most and room - reach[below] >= found[-1][0]
+    visited, limit = 0, len(sizes) - 1
+
+    def most_waste() -> int:
+        return found[-1][0] - 1 if most is not None and len(found) >= most else slack
+
+    def record(waste: int) -> None:
+        out = tuple((sizes[i], k) for i, k, _ in runs)
+        unused = spare
+        for i, k, _ in runs:
+            if have[i] == k:
+                unused ^= 1 << sizes[i]
+        if waste <= most_waste() and not dominated(out, waste, unused):
+            insort(found, (waste, len(found), out))
+            if most is not None:
+                del found[most:]
 
     while True:
-        nodes -= 1
+        visited += 1
         at = min(limit, bisect_right(sizes, room) - 1)
-        if room == 0 or (at >= 0 and sizes[at] == room):
-            record(0, *([room] if room else []))
-            if len(found) >= most and found[-1][0] == 0:
+        while at >= 0 and not have[at]:
+            at -= 1
+        if room == 0 or at < 0:
+            record(room)
+            if most_waste() < 0:
                 break
-        elif at < 0:
-            used = {i: k for i, k, _ in runs}
-            if (len(found) < most or room < found[-1][0]) and all(have[i] == used.get(i, 0) for i in range(bisect_right(sizes, room))):
-                record(room)
-        elif not too_much(room, at + 1):
+        elif room - reach[at + 1] <= most_waste():
             runs.append([at, min(have[at], room // sizes[at]), room])
             room, limit = room - runs[-1][1] * sizes[at], at - 1
             continue
-        if nodes <= 0:
+        if nodes is not None and visited >= nodes:
             break
         while runs:
             i, k, room = runs[-1]
-            k -= 2 if k * sizes[i] == room else 1
-            if k > 0:
-                runs[-1][1] = k
-            elif i and not too_much(room, i):
-                i, k = i - 1, min(have[i - 1], room // sizes[i - 1])
-                runs[-1][:2] = i, k
+            if k > 1:
+                runs[-1][1] = k - 1
+                room -= (k - 1) * sizes[i]
             else:
                 runs.pop()
-                continue
-            room, limit = room - k * sizes[i], i - 1
-            break
+            limit = i - 1
+            if room - reach[i] <= most_waste():
+                break
         else:
             break
-    return [c for _, c in found]
+    return [(waste, out) for waste, _, out in found], visited
 
 
-def dive(counts: dict[int, int], capacity: int, allowed_waste: float, skip: set[int], nodes: int) -> Packing | None:
-    """One packing, largest pieces first; at the steps in ``skip`` it takes the second-best filling.
-
-    A filling is used as often as the pieces at hand allow.  None: its waste went over ``allowed_waste``.
-    """
-    left = {l: n for l, n in counts.items() if n}
-    lengths = np.array(sorted(left))
-    out, waste, step = Packing(capacity), 0, 0
-    while len(lengths):
-        largest = int(lengths[-1])
-        left[largest] -= 1
-        choices = completions(lengths, left, capacity - largest, nodes, 2 if step in skip else 1) if largest < capacity else [()]
-        left[largest] += 1
-        filling = (largest, *choices[min(len(choices) - 1, int(step in skip))])
-        uses = {l: filling.count(l) for l in set(filling)}
-        times = min(left[l] // k for l, k in uses.items())
-        for l, k in uses.items():
-            left[l] -= k * times
-        out.fillings.append((filling, times))
-        waste += (capacity - sum(filling)) * times
-        if waste > allowed_waste:
-            return None
-        if any(not left[l] for l in uses):
-            lengths = lengths[[left[int(l)] > 0 for l in lengths]]
-        step += 1
-    return out
-
-
-def pack(counts: dict[int, int], capacity: int, nodes: int = FILLING_NODES, restarts: int = RESTARTS) -> Packing:
+def pack(counts: dict[int, int], capacity: int, nodes: int | None = SEARCH_NODES, filling_nodes: int | None = FILLING_NODES, branches: int | None = BRANCHES) -> Packing:
     """The fillings that pack pieces of these lengths (1..capacity) into as few sequences as the search finds.
 
-    The first dive is the incumbent.  While it needs more sequences than the lower bound, others follow that
-    differ in one early step; each is cut as soon as its waste shows that it can't need fewer.
+    Bin completion by branch and bound.  Best-fit decreasing is the first incumbent.  While it needs more
+    sequences than the lower bound, the search completes a sequence around the longest piece left, branches
+    over its undominated fillings (used as often as the pieces allow, or once), and goes back as soon as the
+    waste so far, or the lower bound of what is left, shows that no packing better than the incumbent follows.
+    ``nodes``, ``filling_nodes`` and ``branches`` bound the work; the result tells its gap to the lower bound.
     """
     counts = {int(l): int(n) for l, n in counts.items() if n}
-    best = dive(counts, capacity, float("inf"), set(), nodes)
-    least, total = lower_bound(counts, capacity), sum(l * n for l, n in counts.items())
-    for step in range(restarts):
-        if best.sequences <= least:
-            break
-        other = dive(counts, capacity, (best.sequences - 1) * capacity - total, {step}, nodes)
-        if other is not None and other.sequences < best.sequences:
-            best = other
+    best = best_fit(counts, capacity)
+    best.least = least = lower_bound(counts, capacity)
+    total = sum(l * n for l, n in counts.items())
+    left, lengths = dict(counts), sorted(counts)
+    #: Steps taken: the choices not tried yet, and the filling in use with its times and waste.
+    steps: list[tuple[list[tuple[Runs, int, int]], tuple[Runs, int, int] | None]] = []
+    waste = used = visited = 0
+
+    def choices() -> list[tuple[Runs, int, int]]:
+        """Fillings around the longest piece with their times and waste, the one to try first last."""
+        nonlocal visited
+        slack = (best.sequences - 1) * capacity - total - waste
+        if slack < 0 or used + lower_bound(left, capacity) >= best.sequences:
+            return []
+        longest = lengths[-1]
+        left[longest] -= 1
+        found, seen = completions(lengths, [left[x] for x in lengths], capacity - longest, slack, branches, filling_nodes)
+        left[longest] += 1
+        visited += seen
+        often, once = [], []
+        for lost, runs in found:
+            whole = ((longest, 1 + runs[0][1]), *runs[1:]) if runs and runs[0][0] == longest else ((longest, 1), *runs)
+            times = min(left[l] // n for l, n in whole)
+            times = min(times, slack // lost) if lost else times
+            often.append((whole, times, lost))
+            if times > 1:
+                once.append((whole, 1, lost))
+        return (often + once)[::-1]
+
+    def take(runs: Runs, times: int, sign: int) -> None:
+        for l, n in runs:
+            if not left[l]:
+                insort(lengths, l)
+            left[l] -= sign * n * times
+            if not left[l]:
+                lengths.remove(l)
+
+    if best.sequences > least:
+        steps.append((choices(), None))
+    while steps and best.sequences > least and (nodes is None or visited < nodes):
+        untried, now = steps.pop()
+        if now:
+            take(now[0], now[1], -1)
+            waste, used = waste - now[1] * now[2], used - now[1]
+        if not untried:
+            continue
+        now = untried.pop()
+        steps.append((untried, now))
+        take(now[0], now[1], 1)
+        waste, used = waste + now[1] * now[2], used + now[1]
+        if lengths:
+            steps.append((choices(), None))
+        elif used < best.sequences:
+            best = Packing(capacity, [(runs, times) for _, (runs, times, _) in steps], least)
     return best
 
 
@@ -154,13 +264,12 @@ def places(packing: Packing) -> dict[int, tuple[np.ndarray, ...]]:
     out: dict[int, list] = {}
     taken: dict[int, int] = {}
     sequence = 0
-    for filling, times in packing.fillings:
-        offset, i = 0, 0
-        while i < len(filling):
-            length, k = filling[i], filling.count(filling[i])
+    for runs, times in packing.fillings:
+        offset = 0
+        for length, k in runs:
             out.setdefault(length, []).append((taken.get(length, 0), sequence, k, offset))
             taken[length] = taken.get(length, 0) + k * times
-            offset, i = offset + k * length, i + k
+            offset += k * length
         sequence += times
     return {l: tuple(np.array(c, np.int64) for c in zip(*rows)) for l, rows in out.items()}
 

@@ -97,10 +97,13 @@ class LibraryEncoder:
         cache, old = self.cache, self.cache.old
         found = list(map(cache.get, words))
         absent = [i for i, x in enumerate(found) if x is None]
-        learnt = self.learn_all([words[i] for i in absent if words[i] not in old])
-        for i in absent:
-            found[i] = value = learnt[words[i]] if words[i] in learnt else old[words[i]]
-            cache.put(words[i], value)
+        if absent:
+            wanted = [words[i] for i in absent]
+            again = {w: old[w] for w in wanted if w in old}
+            fresh = self.learn_all([w for w in wanted if w not in again] if again else wanted) | again
+            cache.put_all(fresh)
+            for i, w in zip(absent, wanted):
+                found[i] = fresh[w]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,13 @@ class WordCache(dict):
                 self.clear()
             self[word] = value
 
+    def put_all(self, values: dict) -> None:
+        """put() of many at once; the young generation may go over its limit by those."""
+        if len(self) + len(values) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update((w, v) for w, v in values.items() if len(w) <= LONG_WORD)
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""

@@ -112,6 +112,15 @@ def test_packing(docs, library):
     assert len(sequences) <= packing.lower_bound(lengths, 4096) + 1
 
 
+def pieces_of(packing_found):
+    used = {}
+    for runs, times in packing_found.fillings:
+        assert sum(l * n for l, n in runs) <= packing_found.capacity
+        for l, n in runs:
+            used[l] = used.get(l, 0) + n * times
+    return used
+
+
 def test_packing_is_optimal_on_small_cases():
     def best(items, bins):
         if not items:
@@ -119,23 +128,60 @@ def test_packing_is_optimal_on_small_cases():
         return min([best(items[1:], bins[:i] + [b + items[0]] + bins[i + 1 :]) for i, b in enumerate(bins) if b + items[0] <= 20] + [best(items[1:], bins + [items[0]])])
 
     rng = np.random.default_rng(3)
-    for _ in range(25):
-        items = sorted(rng.integers(1, 20, 8).tolist(), reverse=True)
+    for low, high in ((1, 20), (2, 12), (4, 11)):
+        for _ in range(25):
+            items = sorted(rng.integers(low, high, 8).tolist(), reverse=True)
+            counts = {x: items.count(x) for x in items}
+            found = packing.pack(counts, 20, None, None, None)
+            assert found.sequences == packing.pack(counts, 20).sequences == best(items, []) and pieces_of(found) == counts
+            assert found.least <= found.sequences
+
+
+def best_fit_by_piece(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [(room, i) for i, room in enumerate(rooms) if room >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def test_packing_is_never_worse_than_best_fit():
+    """A thousand tight mixes of pieces, with a small budget: the incumbent stays where the search finds nothing better."""
+    rng, saved = np.random.default_rng(5), 0
+    for _ in range(1000):
+        capacity = int(rng.integers(20, 400))
+        items = rng.integers(max(1, capacity // 5), capacity // 2 + 2, int(rng.integers(1, 50))).tolist()
         counts = {x: items.count(x) for x in items}
-        assert packing.pack(counts, 20).sequences == best(items, [])
+        found, plain = packing.pack(counts, capacity, 1000), best_fit_by_piece(items, capacity)
+        assert packing.best_fit(counts, capacity).sequences == plain
+        assert found.least <= found.sequences <= plain and found.gap == found.sequences - found.least and pieces_of(found) == counts
+        saved += plain - found.sequences
+    assert saved > 0
+
+
+def test_dominated_fillings_are_left_out():
+    bits = lambda *lengths: sum(1 << x for x in lengths)
+    assert packing.dominated(((5, 1), (3, 1)), 0, bits(8)) and packing.dominated(((5, 1),), 2, bits(7)) and packing.dominated((), 4, bits(4))
+    assert packing.dominated(((2, 3),), 1, bits(5)) and not packing.dominated(((5, 1),), 2, bits(8, 5)) and not packing.dominated(((5, 1),), 0, bits(5, 4))
+    assert packing.completions([2, 3, 5], [1, 1, 1], 5, 5, None, None)[0] == [(0, ((5, 1),))]
 
 
 def test_packing_of_very_many_pieces_a_sequence():
     """Null texts are pieces of length 1: a filling takes thousands of them without a call for each."""
-    assert packing.pack({1: 1100}, 4096).fillings == [((1,) * 1100, 1)]
-    counts = {1: 50_000, 2: 3000, 4095: 7, 3000: 11, 17: 900}
-    packing_found = packing.pack(counts, 4096)
-    used = {}
-    for filling, times in packing_found.fillings:
-        assert sum(filling) <= 4096
-        for l in filling:
-            used[l] = used.get(l, 0) + times
-    assert used == counts and packing_found.sequences == packing.lower_bound(counts, 4096)
+    assert packing.pack({1: 1100}, 4096).fillings == [(((1, 1100),), 1)]
+    for counts in ({1: 50_000, 2: 3000, 4095: 7, 3000: 11, 17: 900}, {1: 5000}, {2: 3000}, {3: 4000, 4000: 10}, {100: 300, 1: 2000, 7: 50}):
+        found = packing.pack(counts, 4096)
+        assert pieces_of(found) == counts and found.gap == 0
+
+
+def test_packing_of_null_texts(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    found = packing.pack_documents(rows, vocabulary())
+    assert found.schema["piece"].dataType.simpleString() == "int"
+    assert found.select("sequence_id", "offset").distinct().count() == 5000 and found.select("sequence_id").distinct().count() == 2
 
 
 def test_secret_base_spans():
