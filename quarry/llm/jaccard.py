@@ -8,12 +8,14 @@ bound on what two sets don't share) and verified exactly.
 
 A shingle that thousands of near copies share would pair all of them.  So there are two rounds: the first
 compares each member of such a bucket only with its most central one, and contracts what links; the second
-pairs only what is still in different components, the small ones of a bucket with all of it.  A pair that is
-never compared is already joined, so the components are exact.
+pairs only what is still in different components, the small ones of a bucket with all of it; large buckets are
+cut into blocks, and of their pairs only those that bitmaps let through leave a task.  A pair that is never
+compared is already joined, so the components are exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,8 @@ from quarry.llm.graph import components
 MOST_FREQUENT = 1 << 19
 #: A shingle counts as frequent from so many classes on, unless too many shingles would.
 LEAST_FREQUENT = 16
+#: Buckets of at most so many parts are joined row by row; larger ones are compared in blocks of about BLOCK_ROWS.
+SMALL_BUCKET, BLOCK_ROWS = 64, 512
 #: Bits that sift the classes whose sets a verification needs.
 SIFT_BITS = 24
 
@@ -44,7 +48,7 @@ class Similarity:
 
     def least_common(self, a, b):
         """Shingles that linked sets of these sizes share at least (numbers or columns)."""
-        return -(-self.num * (a + b) // (self.den + self.num)) if isinstance(a, int) else F.ceil(self.num * (a + b) / (self.den + self.num))
+        return F.ceil(self.num * (a + b) / (self.den + self.num)) if isinstance(a, Column) else -(-self.num * (a + b) // (self.den + self.num))
 
     def prefix(self, n: int) -> int:
         """Elements of a set of n of which a linked set must hold one."""
@@ -189,24 +193,31 @@ def settle(classes: DataFrame, like: Similarity, frequent: np.ndarray) -> DataFr
     return stage_table(classes.where("not open").select(*columns, "prefix", "rare").unionByName(settled), "settled")
 
 
-def sift(pairs: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs (na, nb, bitmap_a, bitmap_b, ...) whose bitmaps don't rule a link out.
+def bits_allow(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, like: Similarity) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps (arrays of bytes) may link.
 
     The larger bitmap is folded to the smaller one's size: low bits of the hashes stay, the rest is added up.
     """
+    out = np.zeros(len(a), bool)
+    wide = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    most = (na + nb) * (like.den - like.num) // (like.den + like.num)
+    for la, lb in set(zip(*(w.tolist() for w in wide))):
+        rows = np.flatnonzero((wide[0] == la) & (wide[1] == lb))
+        for i in range(0, len(rows), 1 << 14):
+            some = rows[i : i + (1 << 14)]
+            x, y = (np.frombuffer(b"".join(s[some].tolist()), np.uint8).reshape(len(some), -1) for s in (a, b))
+            size = min(la, lb)
+            x, y = (np.bitwise_xor.reduce(m.reshape(len(some), -1, size), axis=1) for m in (x, y))
+            out[some] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1, dtype=np.int64) <= most[some]
+    return out
+
+
+def sift(pairs: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (na, nb, bitmap_a, bitmap_b, ...) whose bitmaps don't rule a link out."""
 
     @F.pandas_udf("boolean")
     def may_link(na: pd.Series, nb: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), bool)
-        wide = a.str.len().to_numpy(), b.str.len().to_numpy()
-        most = (na + nb).to_numpy() * (like.den - like.num) // (like.den + like.num)
-        for la, lb in set(zip(*wide)):
-            rows = np.flatnonzero((wide[0] == la) & (wide[1] == lb))
-            x, y = (np.frombuffer(b"".join(s.iloc[rows]), np.uint8).reshape(len(rows), -1) for s in (a, b))
-            size = min(la, lb)
-            x, y = (np.bitwise_xor.reduce(m.reshape(len(rows), -1, size), axis=1) for m in (x, y))
-            out[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[rows]
-        return pd.Series(out)
+        return pd.Series(bits_allow(na.to_numpy(), nb.to_numpy(), a.to_numpy(), b.to_numpy(), like))
 
     return pairs.where(may_link("na", "nb", "bitmap_a", "bitmap_b"))
 
@@ -245,13 +256,46 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
     return found.where(like.den * common >= like.num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def places_allow(a: Column, at: Column, b: Column, bt: Column, like: Similarity) -> Column:
-    """Sizes a and b, and a shared shingle at places ``at`` and ``bt`` of the order, leave room for a link.
+def places_allow(a, at, b, bt, like: Similarity, least=F.least, greatest=F.greatest):
+    """Sizes a and b, and a shared shingle at places ``at`` and ``bt`` of the order, leave room for a link (columns or arrays).
 
     For the first shared shingle of a pair this is a bound on what they share, so every link passes at it.
     """
-    least = like.least_common(a, b)
-    return (like.den * F.least(a, b) >= like.num * F.greatest(a, b)) & (a - at >= least) & (b - bt >= least)
+    common = like.least_common(a, b)
+    return (like.den * least(a, b) >= like.num * greatest(a, b)) & (a - at >= common) & (b - bt >= common)
+
+
+def compare_blocks(rows: DataFrame, sizes: DataFrame, inside: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of classes (a, b) out of large buckets: minors against all, a block of each at a time.
+
+    rows: (token, part, n, root, at); sizes: (token, main, held, minors).  A bucket's minors and all its rows are
+    dealt to blocks of about BLOCK_ROWS by hash, so a task holds two blocks however large the bucket.  There part
+    pairs are filtered by root, size and place, expanded to their members and sifted; only what passes comes out.
+    """
+    blocks = lambda count: F.ceil(F.col(count) / BLOCK_ROWS).cast("int")
+    dealt = stage_table(rows.join(sizes, "token").join(inside, "part").join(classes.select("class", "bitmap"), "class"), "blocks")
+    block = lambda seed, count: F.pmod(F.xxhash64("class", F.lit(seed)), blocks(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), blocks(count) - 1))
+    fields = ["token", "i", "j", "class", "part", "n", "root", "at", "bitmap"]
+    # The names of the right side differ, as both come from one table.
+    left = dealt.where("root <> main").withColumn("i", block(1, "minors")).withColumn("j", every("held")).select(*fields)
+    right = dealt.withColumn("j", block(2, "held")).withColumn("i", every("minors")).select(*(F.col(c).alias(f"{c}_b") for c in fields))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        b = b.rename(columns=lambda c: c.removesuffix("_b"))
+        (_, first, member), (_, second, other) = (np.unique(x["part"].to_numpy(), return_index=True, return_inverse=True) for x in (a, b))
+        x, y = ({c: s[c].to_numpy()[f] for c in ("n", "root", "at")} for s, f in ((a, first), (b, second)))
+        near = x["root"][:, None] != y["root"][None, :]
+        near &= places_allow(x["n"][:, None], x["at"][:, None], y["n"][None, :], y["at"][None, :], like, np.minimum, np.maximum)
+        p, q = np.nonzero(near[member][:, other])
+        may = bits_allow(a["n"].to_numpy()[p], b["n"].to_numpy()[q], a["bitmap"].to_numpy()[p], b["bitmap"].to_numpy()[q], like)
+        one, two = a["class"].to_numpy()[p[may]], b["class"].to_numpy()[q[may]]
+        return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    keys = ["token", "i", "j"]
+    return left.groupBy(keys).cogroup(right.groupBy([f"{k}_b" for k in keys])).applyInPandas(compare, "a long, b long").distinct()
 
 
 def with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -295,15 +339,21 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
     rows = rows.select("group", "n", "at", "token").unionByName(own).join(parts, "group").select("part", "n", "root", "at", "token")
     mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     rows = stage_table(rows.join(mixed, "token", "left_semi"), "buckets")
-    main = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top")).select("token", F.col("top.root").alias("main"))
-    minors = rows.join(main, "token").where("root <> main")
+    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("held"))
+    sizes = stage_table(sizes.select("token", F.col("top.root").alias("main"), "held", (F.col("held") - F.col("top.held")).alias("minors")), "sizes")
+    inside = placed.join(parts, ["group", "root"]).select("part", "class")
+    # Small buckets: minors with all others of their bucket, then the pairs' members.
+    small = sizes.where(F.col("held") <= SMALL_BUCKET)
+    minors = rows.join(small.select("token", "main"), "token").where("root <> main")
     other = rows.select("token", F.col("part").alias("part_b"), F.col("n").alias("nb"), F.col("at").alias("bt"), F.col("root").alias("root_b"))
     near = (F.col("root") != F.col("root_b")) & places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)
     pairs = minors.join(other, "token").where(near).select(F.least("part", "part_b").alias("pa"), F.greatest("part", "part_b").alias("pb")).distinct()
-    # Expand the parts to their members.
-    inside = placed.join(parts, ["group", "root"]).select("part", "class")
     expanded = pairs.join(inside.select(F.col("part").alias("pa"), F.col("class").alias("a")), "pa").join(inside.select(F.col("part").alias("pb"), F.col("class").alias("b")), "pb").select("a", "b")
-    pairs = stage_table(sift(with_classes(expanded, classes), like).select("a", "b"), "pairs")
+    sifted = sift(with_classes(expanded, classes), like).select("a", "b")
+    large = sizes.where(F.col("held") > SMALL_BUCKET)
+    if not large.isEmpty():
+        sifted = sifted.unionByName(compare_blocks(rows, large, inside, classes, like)).distinct()
+    pairs = stage_table(sifted, "pairs")
     more = verify(pairs, docs, like, id_col, text_col)
     return components(edges.unionByName(more))
 
@@ -338,12 +388,14 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_col: st
 def keep_one(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each group: the smallest id (nulls last), then the smallest text hash.
 
-    Documents with empty sets all stay.  Of rows with equal id and text one stays.
+    Documents with empty sets all stay.  Of rows with equal id and text one stays, the one whose other columns have the
+    smallest hash.  An empty table gives no rows; columns of any name stay as they are.
     """
     found = grouped_documents(docs, like, id_col, text_col)
     first = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("one"))
     winners = first.select(F.col("one.id").alias("_q_id"), F.col("one.key").alias("_q_key")).unionByName(found.where("group is null").select(F.col("id").alias("_q_id"), F.col("key").alias("_q_key"))).distinct()
-    rows = docs.withColumn("_q_text", F.xxhash64(text_col))
-    rows = rows.join(winners, rows[id_col].eqNullSafe(winners["_q_id"]) & (rows["_q_text"] == winners["_q_key"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_q_text").orderBy(F.lit(0)))
-    return rows.withColumn("_q_nth", nth).where("_q_nth = 1").drop("_q_nth", "_q_text")
+    text, nth = (f"_q_{uuid.uuid4().hex}" for _ in range(2))
+    rows = docs.withColumn(text, F.xxhash64(text_col))
+    rows = rows.join(winners, rows[id_col].eqNullSafe(winners["_q_id"]) & (rows[text] == winners["_q_key"]), "left_semi")
+    number = F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.xxhash64(*(c for c in docs.columns if c not in (id_col, text_col)), F.lit(0))))
+    return rows.withColumn(nth, number).where(F.col(nth) == 1).drop(nth, text)

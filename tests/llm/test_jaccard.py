@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quarry.llm import jaccard
 from quarry.llm.jaccard import Similarity, keep_one, near_duplicates
 
 
@@ -55,6 +56,41 @@ def test_components_equal_brute_force(spark, like):
     assert found == {i: (len(sets[i]), smallest[roots[i]]) for i, _ in rows}
 
 
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Every bucket of more than two parts is compared in blocks of about three rows."""
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    like, rng = Similarity(5, 80), random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    sets, roots = brute(rows, like)
+    smallest = {}
+    for i, r in enumerate(roots):
+        smallest[r] = min(smallest.get(r, i), i)
+    assert 1 < len(smallest) < len(rows)
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+    assert found == {i: smallest[roots[i]] for i, _ in rows}
+
+
+def test_a_passage_that_thousands_share_links_nothing(spark):
+    passage = " ".join(f"shared{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(30 + i % 7))) for i in range(3000)] + [(3000, f"{passage} " + " ".join(f"own{5}x{k}" for k in range(35)) + " more")]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == {i: i for i in range(3000)} | {3000: 5}
+
+
+def test_keep_one_takes_the_same_row_and_keeps_names(spark):
+    rows = [(1, "a b c d e f g", "k", x) for x in (3, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _q_text string, _q_nth long")
+    kept = {tuple(keep_one(docs.repartition(n)).select("doc_id", "_q_text", "_q_nth").first()) for n in (1, 3)}
+    assert len(kept) == 1 and keep_one(docs).columns == docs.columns
+
+
 def test_keep_one_keeps_clean_rows_and_columns(spark):
     rows = [(1, "a b c d e f g", "k"), (2, "A b c d e f g", "l"), (2, "A b c d e f g", "l"), (None, "a b c d e f g", "m"), (3, "", "n"), (4, None, "o"), (5, "quite another text of its own", "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `group` string")
