@@ -288,6 +288,37 @@ def test_nearest_recall(spark):
     assert [m[1] for m in sorted(got[20_000])] == [0, *range(20_001, 20_010)]
 
 
+def test_nearest_compares_few_and_finds_most():
+    """Against brute force on all of sf0.1 and on evenly spread vectors, the hardest case: recall, and the share compared."""
+    import pyarrow.parquet as pq
+
+    real = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist(), float)
+    for vectors, most in ((real, 0.25), (np.random.default_rng(6).normal(size=(20_000, 64)), 0.12)):
+        unit, asked = ann.units(vectors), np.arange(0, len(vectors), len(vectors) // 60)
+        rows = ann.candidates(ann.probes(unit[asked], ann.probe_count(len(vectors))), ann.codes(unit))
+        hits = sum(len(set(np.argsort(-(unit @ unit[q]))[1:11].tolist()) & set(near.tolist())) for q, near in zip(asked, rows))
+        assert hits / (10 * len(asked)) >= 0.9 and np.mean([len(r) for r in rows]) / len(vectors) < most
+
+
+def test_pseudo_rotation_keeps_lengths_and_matches_its_matrix():
+    x = np.random.default_rng(2).normal(size=(5, 300))
+    assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1)) and ann.rotated(x, 3).shape == (5, 512)
+    y = ann.hadamard(np.random.default_rng(3).normal(size=(4, 64)))
+    z = y
+    for flip in ann.signs(64, 9):
+        z = ann.hadamard(z * flip)
+    assert np.allclose(z, ann.rotated(y, 9))
+
+
+def test_nearest_of_an_empty_table_and_clashing_names(spark):
+    rows = [(i, [float(i + 1), 1.0, float(i % 3)], f"x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    assert ann.nearest(docs.limit(0), F.col("vec_id") % 10 == 0).collect() == []
+    found = ann.nearest(docs, F.col("vec_id") % 10 == 0, k=3).collect()
+    want = {q: sorted((float(np.linalg.norm(np.subtract(rows[q][1], v))), i) for i, v, _ in rows if i != q)[:3] for q in (0, 10, 20)}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, k + 1, i) for q, w in want.items() for k, (_, i) in enumerate(w)}
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     model = language_model(spark, sf)
