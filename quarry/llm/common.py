@@ -125,17 +125,19 @@ def hashed_part(text: Column, key: Column, most: int) -> Column:
     return F.substring(text, F.pmod(F.xxhash64(key, F.lit(11)), room.cast("long")).cast("int") + 1, F.lit(most))
 
 
-def bounded_sample(df: DataFrame, class_col: str, key_col: str, most: int) -> tuple[DataFrame, dict]:
+def bounded_sample(df: DataFrame, class_col: str, key_col: str, most: int, most_classes: int) -> tuple[DataFrame, dict]:
     """About ``most`` rows of each class, by the hash of the key, and the size of each class; a smaller class is taken whole.
 
-    One aggregation counts the classes; the sampling fraction of each then is a literal.  The expected size
-    is ``most``, with a deviation of its square root, whatever the input's size.  Rows with a null class or
-    key are left out.
+    One aggregation counts the classes; only the ``most_classes`` with most rows (then by name) are kept, so what
+    comes to the driver is bounded however many labels a dirty column holds.  Their sampling fractions are a map
+    literal.  The expected size is ``most``, with a deviation of its square root, whatever the input's size.  Rows
+    with a null class or key are left out.
     """
     df = df.where(F.col(class_col).isNotNull() & F.col(key_col).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}
+    largest = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), class_col).limit(most_classes)
+    counts = {r[0]: r[1] for r in largest.collect()}
+    if not counts:
+        return df.where(F.lit(False)), counts
     unit = F.shiftrightunsigned(F.xxhash64(F.col(key_col), F.lit(7)), 11).cast("double") / float(1 << 53)
-    keep = F.lit(False)
-    for value, n in sorted(counts.items()):
-        keep = keep | ((F.col(class_col) == F.lit(value)) & (unit < F.lit(min(1.0, most / n))))
-    return df.where(keep), counts
+    share = F.create_map(*(F.lit(x) for value, n in sorted(counts.items()) for x in (value, min(1.0, most / n))))
+    return df.where(unit < F.coalesce(F.element_at(share, F.col(class_col)), F.lit(0.0))), counts

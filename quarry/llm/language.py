@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_sample, hashed_part, map_rows, map_texts
 from quarry.llm.compression import DictionaryCompressor, blocks, even_pieces, joined
 
+#: Languages that are learnt, those with most labelled rows: each costs a dictionary and a compression of every text.
+MOST_LANGUAGES = 200
 #: Documents sampled a language, characters taken of a long one and dictionary bytes a language (some 130 a document);
 #: bytes of a block.
 SAMPLE_DOCS = 1500
@@ -30,7 +33,8 @@ MIN_MARGIN_BYTES = 1
 MIN_MARGIN_SHARE = 0.001
 #: Bits of confidence that one saved byte brings; well under 8, as neighbouring words depend on each other.
 BITS_A_BYTE = 0.5
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category; superscripts, fractions and circled digits are none.
+LETTER = regex.compile(r"\p{L}")
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -61,7 +65,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     rows = docs.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).alias("key"))
     rows = rows.where(F.length("text") > 0)
     by: dict[str, list[str]] = {}
-    sample, counts = bounded_sample(rows, "lang", "key", sample_docs)
+    sample, counts = bounded_sample(rows, "lang", "key", sample_docs, MOST_LANGUAGES)
     for text, lang in sample.select(hashed_part(F.col("text"), F.col("key"), SAMPLE_CHARS), "lang").collect():
         by.setdefault(lang, []).append(text)
     return LanguageModel(tuple((lang, interleave(by[lang], DICT_BYTES)) for lang in sorted(by, key=lambda x: (-counts[x], x))))

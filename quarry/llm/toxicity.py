@@ -2,8 +2,9 @@
 
 Both dictionaries are trained on labelled text.  They share a base of ordinary text; the toxic one adds the
 substrings that toxic documents hold far more often than ordinary ones.  A window that holds such a
-substring compresses shorter with the toxic dictionary; others come out alike.  The score of a document is
-a calibrated function of its windows' differences, so one toxic window in a long text counts.
+substring compresses shorter with the toxic dictionary; others come out alike.  Thresholds on a window's
+saving are calibrated on ordinary texts outside the dictionaries; the score of a document is a logistic
+function of how many of its windows reach each, so one toxic window in a long text counts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SUBSTRING_BYTES = range(5, 13)
 #: the odds against chance (Poisson) is so large; there are some hundred thousand substrings to choose from.
 LEAST_RATIO = 4.0
 LEAST_PROOF = 14.0
+#: Thresholds on a window's saving: such quantiles of ordinary windows, whole bytes from 1 on.
+QUANTILES = (0.8, 0.9, 0.97, 0.99, 0.997, 0.999)
 #: Folds of the calibration; word-triple hashes that tell copies among the training texts.
 FOLDS = 4
 SKETCH = 4
@@ -43,10 +46,11 @@ TAIL = bytes(range(1, 33))
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Dictionaries, and weights of (best window, sum of the best three, share of windows) with a bias."""
+    """Dictionaries, thresholds on a window's saving, and weights of the windows that reach each, of all windows, and a bias."""
 
     ordinary: bytes
     toxic: bytes
+    thresholds: tuple[int, ...]
     weights: tuple[float, ...]
     bias: float
 
@@ -113,26 +117,23 @@ def compressors(ordinary: bytes, toxic: bytes) -> tuple[DictionaryCompressor, Di
     return DictionaryCompressor(ordinary, **kind), DictionaryCompressor(toxic, **kind)
 
 
-def features(ordinary: bytes, toxic: bytes, texts: list[str]) -> np.ndarray:
-    """Per text: the largest saving of a window, the three largest together, windows that save, by windows."""
+def savings(ordinary: bytes, toxic: bytes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: its text, and the bytes that the toxic dictionary saves against the ordinary one."""
     data, starts, sizes = joined([folded(t) for t in texts])
     owner, begin, size = word_windows(data, starts, sizes, WINDOW_BYTES)
+    if not len(owner):
+        return owner, np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
-    data = np.insert(raw, np.repeat(begin + size, len(TAIL)), np.tile(np.frombuffer(TAIL, np.uint8), len(begin))).tobytes() if len(begin) else b""
+    data = np.insert(raw, np.repeat(begin + size, len(TAIL)), np.tile(np.frombuffer(TAIL, np.uint8), len(begin))).tobytes()
     begin, size = begin + len(TAIL) * np.arange(len(begin)), size + len(TAIL)
     plain, other = compressors(ordinary, toxic)
-    saved = np.maximum(plain.lengths(data, begin, size) - other.lengths(data, begin, size), 0).astype(float)
-    out = np.zeros((len(texts), 3))
-    if len(owner):
-        order = np.lexsort((-saved, owner))
-        who, saved = owner[order], saved[order]
-        edges = np.flatnonzero(np.diff(who, prepend=-1))
-        count = np.diff(np.append(edges, len(who)))
-        place = np.arange(len(who)) - np.repeat(edges, count)
-        out[who[edges], 0] = saved[edges]
-        out[:, 1] = np.bincount(who, saved * (place < 3), len(texts))
-        out[:, 2] = np.bincount(who, saved, len(texts)) / np.sqrt(np.maximum(1, np.bincount(who, minlength=len(texts))))
-    return out
+    return owner, plain.lengths(data, begin, size) - other.lengths(data, begin, size)
+
+
+def features(owner: np.ndarray, saved: np.ndarray, texts: int, thresholds: tuple[int, ...]) -> np.ndarray:
+    """Per text the logarithms of its windows that reach each threshold, and of all its windows."""
+    reached = [np.bincount(owner, saved >= t, texts) for t in thresholds]
+    return np.log1p(np.stack([*reached, np.bincount(owner, minlength=texts)], axis=1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -158,7 +159,7 @@ def train(toxic: list[str], ordinary: list[str], class_sizes: tuple[int, int]) -
 
     if not toxic or not ordinary:
         base = base_of(ordinary) + TAIL
-        return ToxicityModel(base, base, (0.0, 0.0, 0.0), 4.0 if toxic else -4.0)
+        return ToxicityModel(base, base, (), (0.0,), 4.0 if toxic else -4.0)
     by_fold = [[Counter(s for t in texts[k::FOLDS] for s in substrings(t)) for k in range(FOLDS)] for texts in (toxic, ordinary)]
     whole = [sum(folds, Counter()) for folds in by_fold]
 
@@ -169,15 +170,13 @@ def train(toxic: list[str], ordinary: list[str], class_sizes: tuple[int, int]) -
         base = base_of([t for i, t in enumerate(ordinary) if i % FOLDS != fold])
         return base + bytes(128 + i % 61 for i in range(len(added))) + TAIL, base + added + TAIL
 
-    rows, ys = [], []
-    for k in range(FOLDS):
-        learnt = dictionaries(k)
-        for label, texts in ((1.0, toxic[k::FOLDS]), (0.0, ordinary[k::FOLDS])):
-            rows.append(features(*learnt, texts))
-            ys.append(np.full(len(texts), label))
-    weights, bias = logistic(np.vstack(rows), np.concatenate(ys))
+    outside = [(label, len(part), *savings(*dictionaries(k), part)) for k in range(FOLDS) for label, texts in ((1.0, toxic), (0.0, ordinary)) if (part := texts[k::FOLDS])]
+    plain = np.concatenate([saved for label, _, _, saved in outside if not label])
+    thresholds = tuple(sorted({max(1, int(q)) for q in np.quantile(plain, QUANTILES)})) if len(plain) else (1,)
+    rows = [features(owner, saved, n, thresholds) for _, n, owner, saved in outside]
+    weights, bias = logistic(np.vstack(rows), np.concatenate([np.full(n, label) for label, n, _, _ in outside]))
     shift = np.log(class_sizes[0] / len(toxic)) - np.log(class_sizes[1] / len(ordinary))
-    return ToxicityModel(*dictionaries(None), tuple(weights.tolist()), bias + float(shift))
+    return ToxicityModel(*dictionaries(None), thresholds, tuple(weights.tolist()), bias + float(shift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
@@ -186,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text_col: str =
     The sample is drawn from the labels; it has a bounded size and is broadcast to pick the texts.
     """
     known = labels.where(train_rows).select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    sample, counts = bounded_sample(known, "label", "key", sample_docs)
+    sample, counts = bounded_sample(known, "label", "key", sample_docs, 2)
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     found = rows.join(F.broadcast(sample), "key").select("label", hashed_part(F.col("text"), F.col("key"), SAMPLE_CHARS)).collect()
     by = {label: sorted({r[1] for r in found if r[0] == label}, key=lambda t: hash_key(t)) for label in (0, 1)}
@@ -200,7 +199,7 @@ def hash_key(text: str) -> bytes:
 
 
 def predict(model: ToxicityModel, texts: list[str]) -> np.ndarray:
-    z = features(model.ordinary, model.toxic, texts) @ np.array(model.weights) + model.bias
+    z = features(*savings(model.ordinary, model.toxic, texts), len(texts), model.thresholds) @ np.array(model.weights) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -325,7 +325,45 @@ def test_language_held_out(spark):
     rows = [r for r in documents(spark, sf).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     names, scores, _ = language.predict(model, [r.text or "" for r in rows])
     assert np.mean([a == r.lang for a, r in zip(names, rows)]) > 0.95 and ((0 <= scores) & (scores <= 1)).all()
-    assert language.predict(model, ["", "12 34 !", "x"])[0][:2] == ["und", "und"]
+    assert language.predict(model, ["", "12 34 !", "x²", "²", "½ ①", "٣", "_ \u0301", "中"])[0][:2] == ["und", "und"]
+    lettered = [n != "und" for n in language.predict(model, ["x²", "²", "½ ①", "٣", "_ \u0301", "中"])[0]]
+    assert lettered == [True, False, False, False, False, True]
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    """A dirty label column: the languages with most rows are learnt, and a prediction is one of them."""
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    rows = [(i, f"text number {i} of some words", "abcdefgh"[min(7, i // 4 if i < 12 else 3 + i % 5)]) for i in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.dictionaries) == 3
+
+
+AWKWARD = [(1, None), (2, ""), (3, " \n "), (4, "12 34"), (5, "a short text"), (5, "a short text"), (None, "no id"), (6, "x" * 400_000), (7, "many words of a very long text " * 20_000), (8, "é" * 70)]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "language"])
+def test_classifiers_on_awkward_rows(spark, name):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns named like the results."""
+    schema = "doc_id long, text string, score string, lang_pred int, id string, label long"
+    docs = spark.createDataFrame([(i, t, "s", 1, "i", 2) for i, t in AWKWARD], schema).repartition(3)
+    module, model = (toxicity, toxicity_model(spark, "/root/testdata/sf0.01")) if name == "toxicity" else (language, language_model(spark, SMALL))
+    apply = toxicity.score if name == "toxicity" else language.identify
+    one = (lambda t: (lambda p: (p, int(p >= 0.5)))(float(toxicity.predict(model, [t])[0]))) if name == "toxicity" else (lambda t: (lambda r: (r[0][0], float(r[1][0]), bool(r[2][0])))(language.predict(model, [t])))
+    got = sorted(map(tuple, apply(docs, model).collect()), key=str)
+    assert got == sorted(((i, *one(t or "")) for i, t in AWKWARD), key=str)
+    assert apply(docs.limit(0), model).collect() == []
+    kept = module.keep(docs, model)
+    assert kept.schema == docs.schema and module.keep(docs.limit(0), model).collect() == []
+    stay = (lambda t: one(t)[1] == 0) if name == "toxicity" else (lambda t: one(t)[2])
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, t in AWKWARD if stay(t or ""))
+
+
+def test_models_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, none, F.lit(True))
+    assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+    assert {(r.lang_pred, r.score) for r in language.identify(docs, language.fit(docs, F.lit(True))).collect()} == {("und", 0.0)}
 
 
 def test_dictionaries_hold_a_piece_of_every_text(spark):
