@@ -14,6 +14,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -237,10 +238,23 @@ def network() -> Network:
     return net
 
 
-def uncovered(a: int, b: int, found: list[tuple[int, int, int]], text: str) -> list[tuple[int, int]]:
-    """What the spans found leave of [a, b), without the marks that join it to them."""
+def covered(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, as disjoint stretches in order."""
+    starts, ends = [], []
+    for a, _, b in sorted(found):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def uncovered(a: int, b: int, starts: list[int], ends: list[int], text: str) -> list[tuple[int, int]]:
+    """What the stretches leave of [a, b), without the marks that join it to them."""
     out, at = [], a
-    for s, _, e in [*sorted(x for x in found if x[0] < b and a < x[2]), (b, 0, b)]:
+    first, last = bisect_right(ends, a), bisect_left(starts, b)
+    for s, e in [*zip(starts[first:last], ends[first:last]), (b, b)]:
         lo, hi = at, min(s, b)
         while lo > a and lo < hi and text[lo] in JOINTS:
             lo += 1
@@ -291,8 +305,9 @@ def find(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
         for a, b in runs:
             if b - a >= 32:
                 found += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(text[a:b])]
+        stretches = covered(found)
         for run in runs:
-            for a, b in uncovered(*run, found, text):
+            for a, b in uncovered(*run, *stretches, text):
                 for seen, short, s, e in looks(text, run, a, b):
                     views[short].append(seen)
                     owners[short].append((i, s, e))

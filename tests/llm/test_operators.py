@@ -201,6 +201,28 @@ def test_secret_network_on_unseen_findings():
     assert (p[labels == 1] >= net.threshold).mean() > 0.93 and (p[labels == 0] >= net.threshold).mean() < 0.03
 
 
+def test_secret_network_on_the_tables():
+    """The network alone, on the values that the patterns find in sf0.1; and its alarms on everything else there."""
+    import pyarrow.parquet as pq
+
+    net, planted, alarms = secrets.network(), [], 0
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for text, spans in zip(texts, secrets.find(texts, net)):
+        for a, kind, b in spans:
+            found = secrets.ASSIGN.match(text, a) if kind == 0 else None
+            alarms += kind == 3
+            if kind < 3:
+                planted.append(secrets.view(text, *(found.span(2) if found else (a, b))))
+    assert len(planted) > 100 and (net.score(planted) >= net.threshold).mean() >= secrets.LEAST_RECALL and alarms <= len(texts) / 1000
+
+
+def test_secret_scan_of_very_many_spans():
+    """Time grows with the text, not with runs times spans."""
+    text = "token=abcdefgh1 some/path-of.words " * 20_000
+    spans = secrets.find([text], secrets.network())[0]
+    assert sum(k == 0 for _, k, _ in spans) == 20_000
+
+
 def test_secret_threshold_keeps_the_recall():
     """Findings whose labels can't be told from the text: the threshold goes as low as the recall asks for."""
     findings, labels = secrets.labelled_findings(800, seed=3)
