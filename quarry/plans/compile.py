@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.plans.query import Leaf
+from quarry.plans import regex
+from quarry.plans.query import Leaf, QueryError
 
 #: Java: a dot stops at \\n alone, classes and \\b are Unicode; case is ignored the Unicode way.
 JAVA_FLAGS, JAVA_IGNORE_CASE = "(?dU)", "(?diuU)"
@@ -23,11 +26,20 @@ def java_quote(text: str) -> str:
 
 
 def word_pattern(text: str, quote=java_quote) -> str:
-    """The text with word boundaries; at an edge that is no word character any neighbour will do."""
-    inside = lambda c: c.isalnum() or c == "_"
-    lead = r"\b" if inside(text[0]) else r"(?:^|\b|\W)"
-    trail = r"\b" if inside(text[-1]) else r"(?:\b|\W|$)"
-    return lead + quote(text) + trail
+    """The text as a whole word: a boundary where it begins or ends with a word character, nothing where it doesn't."""
+    edge = [r"\b" if re.fullmatch(r"\w", text[k]) else "" for k in (0, -1)]
+    return quote(text).join(edge)
+
+
+def java_regex(leaf: Leaf) -> str:
+    """The pattern for the engine; one that it can't compile is an error of the query now, not of a task later."""
+    pattern = (JAVA_FLAGS if leaf.case else JAVA_IGNORE_CASE) + regex.java(leaf.value)
+    context = SparkContext._active_spark_context
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        raise QueryError(f"invalid regular expression: {str(e).splitlines()[0]}") from None
+    return pattern
 
 
 def rooted(text: str) -> bool:
@@ -56,8 +68,7 @@ def leaf_column(leaf: Leaf) -> Column:
         case "word":
             return F.col(haystack(leaf)).rlike(JAVA_FLAGS + word_pattern(leaf.value))
         case "regex":
-            pattern = re.sub(r"(?<!\\)((?:\\\\)*)\$(?![^\[]*\])", r"\1\\z", leaf.value)
-            return F.col(haystack(leaf)).rlike((JAVA_FLAGS if leaf.case else JAVA_IGNORE_CASE) + pattern)
+            return F.col(haystack(leaf)).rlike(java_regex(leaf))
         case "ext":
             return F.col("name_lower").contains(".") & F.substring_index("name_lower", ".", -1).isin(*leaf.value)
         case "size":

@@ -12,6 +12,7 @@ from datetime import datetime
 from zoneinfo import ZoneInfo
 
 from quarry.functions import literals
+from quarry.plans import regex
 from quarry.schema import DEFAULT_LIMIT
 
 #: Characters with the Unicode property White_Space.
@@ -189,20 +190,13 @@ def word(text: str, options: SearchOptions) -> Leaf | None:
     return text_leaf(text, target_of(text, options), options)
 
 
-#: What the linear-time dialect of the query language doesn't have.
-UNSUPPORTED = re.compile(r"\\[1-9]|\(\?<?[=!]|\(\?>|[*+?}]\+")
-
-
 def regex_leaf(options: SearchOptions) -> Leaf | None:
     pattern = options.query.strip()
     if not pattern:
         return None
-    bare = re.sub(r"\\\\", "", pattern)
-    if UNSUPPORTED.search(bare):
-        raise QueryError("back-references, look-around and possessive repetition are not supported")
     try:
-        re.compile(re.sub(r"\\p\{[^}]*\}|\\P\{[^}]*\}|\\z|\\A", "x", pattern))
-    except re.error as e:
+        regex.java(pattern)
+    except regex.RegexError as e:
         raise QueryError(f"invalid regular expression: {e}") from None
     return Leaf("regex", "path" if options.match_path else "name", pattern, options.match_case)
 
