@@ -7,7 +7,7 @@ affect each other, so a fold for each (drive, record) is exact.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,38 +44,36 @@ def valid(ops: DataFrame) -> DataFrame:
     return ops.where((F.col("op") == "delete") | ((F.length("name") > 0) & (F.col("record") != ROOT_RECORD)))
 
 
-def apply_event(links: Column, event: Column) -> Column:
-    """The links after one event.
-
-    Delete: none.  Upsert: into no link or one, the event is the only link; into several, it takes the place
-    of the one with its parent and exact name, else it is added.
-    """
-    link = F.struct(*(event[f].alias(f) for f in LINK))
-    same = lambda x: (x["parent"] == event["parent"]) & (x["name"] == event["name"])
-    several = F.when(F.exists(links, same), F.transform(links, lambda x: F.when(same(x), link).otherwise(x))).otherwise(F.array_append(links, link))
-    return F.when(event["op"] == "delete", F.slice(links, 1, 0)).when(F.size(links) <= 1, F.array(link)).otherwise(several)
-
-
 def fold(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """Entries after all operations (drive, usn, record, op, and a link's columns), by native higher-order functions.
+    """Entries after all operations (drive, usn, record, op, and a link's columns).
 
-    Only events after a record's last deletion can matter, so earlier ones go before anything is gathered;
-    what a task gathers for a record is its links and those events.
+    A deletion takes all links of a record, so only upserts after the last one count.  A record with one link or
+    none then has the last upsert as its only link, whatever came between.  One with several keeps several: the
+    last upsert of each (parent, name) takes the place of that link or is added.  So nothing but the last event
+    of each record, parent and name is kept, by aggregation alone; rows of records that no operation names pass
+    through.
     """
+    key = ["drive", "record"]
     ops = valid(ops)
-    last = ops.where(F.col("op") == "delete").groupBy("drive", "record").agg(F.max("usn").alias("gone"))
-    live = ops.join(last, ["drive", "record"], "left")
-    events = live.where(F.col("gone").isNull() | (F.col("usn") >= F.col("gone"))).groupBy("drive", "record").agg(F.array_sort(F.collect_list(F.struct("usn", "op", *LINK))).alias("events"))
-    old = entries.groupBy("drive", "record").agg(F.array_sort(F.collect_list(F.struct(*LINK))).alias("links"))
-    both = old.join(events, ["drive", "record"], "full")
-    start = F.coalesce("links", F.lit(None).cast(f"array<struct<{LINK_TYPE.replace(' ', ':').replace(',:', ',')}>>"), F.array().cast(f"array<struct<{LINK_TYPE.replace(' ', ':').replace(',:', ',')}>>"))
-    after = F.when(F.col("events").isNull(), start).otherwise(F.aggregate("events", start, apply_event))
-    rows = both.select("drive", "record", F.explode(after).alias("l")).select("drive", "record", "l.*")
-    return rows.withColumn("name_lower", F.lower("name"))
+    gone = ops.where(F.col("op") == "delete").groupBy(key).agg(F.max("usn").alias("gone"))
+    live = ops.where(F.col("op") != "delete").join(gone, key, "left").where(F.col("gone").isNull() | (F.col("usn") > F.col("gone")))
+    named = live.groupBy(*key, "parent", "name").agg(F.max_by(F.struct(*LINK), "usn").alias("event"), F.max("usn").alias("usn"))
+    links = entries.select(*key, F.struct(*LINK).alias("link"))
+    touched = links.join(ops.select(key).distinct(), key, "left_semi").join(gone, key, "left_anti")
+    several = touched.groupBy(key).agg(F.count(F.lit(1)).alias("links")).where("links > 1").select(key)
+    # Several links: each with the last event of its name, and the events of new names.
+    old = touched.join(several, key, "left_semi").withColumns({"parent": F.col("link.parent"), "name": F.col("link.name")})
+    new = named.join(several, key, "left_semi").drop("usn")
+    many = old.join(new, [*key, "parent", "name"], "full").select(*key, F.coalesce("event", "link").alias("link"))
+    # One link or none: the last event of all.
+    last = named.join(several, key, "left_anti").groupBy(key).agg(F.max_by("event", "usn").alias("event"))
+    one = touched.join(several, key, "left_anti").join(last, key, "full").select(*key, F.coalesce("event", "link").alias("link"))
+    rest = links.join(ops.select(key).distinct(), key, "left_anti")
+    return rest.unionByName(many).unionByName(one).select(*key, "link.*").withColumn("name_lower", F.lower("name"))
 
 
 def replay(links: list[dict], events: list[dict]) -> list[dict]:
-    """The same fold of one record in plain Python; the stateful stream uses it, and tests compare it."""
+    """The same fold of one record in plain Python, event by event; the stateful stream uses it, and tests compare it."""
     links = list(links)
     for e in events:
         if e["op"] == "delete":

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.cdc import catch_up
+from quarry.operators.cdc import catch_up, fold
 from quarry.schema import ENTRY_COLUMNS, SNAPSHOT_VERSION
 
 META = "version int, drive string, serial long, journal_id long, next_usn long, data string"
@@ -37,9 +37,16 @@ def load(spark: SparkSession, path: str, drive: str, serial: int) -> tuple[DataF
     return entries.select(*ENTRY_COLUMNS), meta
 
 
-def bring_online(spark: SparkSession, path: str, drive: str, serial: int, journal: dict, rebuild) -> tuple[DataFrame, str]:
-    """A snapshot whose journal position still can be resumed (``caught``), else what ``rebuild()`` reads (``stale``)."""
+def bring_online(spark: SparkSession, path: str, drive: str, serial: int, journal: dict, changes: DataFrame, rebuild) -> tuple[DataFrame, str]:
+    """A volume as it is now, and how it was had.
+
+    ``caught``: a snapshot whose journal position still can be resumed, with all changes from that position on
+    folded in.  ``changes`` are the journal's operations (as cdc.operations names them); those of other drives
+    and earlier ones are left out.  ``stale``: what ``rebuild()`` reads, as there is no such snapshot.
+    """
     found = load(spark, path, drive, serial)
-    if found and catch_up(found[1], journal) == "caught":
-        return found[0], "caught"
-    return rebuild(), "stale"
+    if not found or catch_up(found[1], journal) == "stale":
+        return rebuild(), "stale"
+    entries, meta = found
+    tail = changes.where((F.col("drive") == drive) & (F.col("usn") >= meta["next_usn"]))
+    return fold(entries, tail).select(*ENTRY_COLUMNS), "caught"

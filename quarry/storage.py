@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session.  Where it is unset, one process (local master) gets a folder of its own.
+
+    On a cluster a folder of one machine would be lost to the others, so there the setting has to be made.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
     return _own[0]
