@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import derive
-from quarry.schema import DIRECTORY, ENTRY_COLUMNS, ROOT_RECORD
+from quarry.schema import ENTRY_COLUMNS, ROOT_RECORD
 
 
 def entries_of(raw: DataFrame) -> DataFrame:
@@ -16,16 +16,6 @@ def entries_of(raw: DataFrame) -> DataFrame:
     return kept.withColumn("name_lower", F.lower("name")).withColumns(times).select(*ENTRY_COLUMNS)
 
 
-def resolved_size(is_dir, data_size, name_size):
-    """Folders have no size; files the size of their data, else the one beside their name."""
-    return F.when(~is_dir, F.coalesce(data_size, name_size))
-
-
-def normal_attributes(is_dir, attributes):
-    """The directory bit says what the record says."""
-    return F.when(is_dir, attributes.bitwiseOR(F.lit(DIRECTORY))).otherwise(attributes.bitwiseAND(F.lit(~DIRECTORY)))
-
-
 def usable_volumes(volumes: DataFrame) -> DataFrame:
     """Fixed drives with an NTFS file system, from (drive, drive_type, fs, serial)."""
     return volumes.where((F.col("drive_type") == 3) & (F.lower("fs") == "ntfs"))
@@ -44,6 +34,39 @@ def links_per_record(entries: DataFrame) -> DataFrame:
     return entries.groupBy("drive", "record").agg(F.count(F.lit(1)).alias("links"))
 
 
-def status(entries: DataFrame, state: str = "ready", message: str | None = None) -> DataFrame:
-    """One row a volume: state, entries, message."""
-    return entries.groupBy("drive").agg(F.count(F.lit(1)).alias("count")).select("drive", F.lit(state).alias("state"), "count", F.lit(message).cast("string").alias("message"))
+def status(entries: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row a volume: state, count, message.
+
+    ``runs`` (drive, read, error) tells of volumes that are being read, or failed: the state is ``error`` with its
+    text, or ``indexing`` with the records read so far; every other volume with entries is ``ready``.
+    """
+    counts = entries.groupBy("drive").agg(F.count(F.lit(1)).alias("count"))
+    if runs is None:
+        return counts.select("drive", F.lit("ready").alias("state"), "count", F.lit(None).cast("string").alias("message"))
+    state = F.when(F.col("error").isNotNull(), "error").when(F.col("read").isNotNull(), "indexing").otherwise("ready")
+    shown = F.coalesce(F.when(F.col("error").isNull(), F.col("read")), "count", F.lit(0).cast("long"))
+    return counts.join(runs, "drive", "full").select("drive", state.alias("state"), shown.alias("count"), F.col("error").alias("message"))
+
+
+def store(entries: DataFrame, path: str, slots: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Entries written in the order of the first screen (name, drive, parent, record), and how many each slot holds.
+
+    A slot is a range of that order and a partition of the table, so a page of the whole catalog reads the
+    slots that hold it and no others, and name prefixes skip files by their statistics.
+    """
+    order = ["name_lower", "drive", "parent", "record"]
+    ranged = entries.repartitionByRange(slots, *order).withColumn("slot", F.spark_partition_id()).sortWithinPartitions(*order)
+    ranged.write.partitionBy("slot").parquet(path)
+    stored = entries.sparkSession.read.schema(ranged.schema).parquet(path)
+    return stored, sorted((r[0], r[1]) for r in stored.groupBy("slot").count().collect())
+
+
+def slots_of_page(counts: list[tuple[int, int]], limit: int, descending: bool) -> list[int]:
+    """The slots that hold the first (or last) ``limit`` entries."""
+    out, have = [], 0
+    for slot, n in reversed(counts) if descending else counts:
+        if have >= limit:
+            break
+        out.append(slot)
+        have += n
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import derive
 from quarry.operators import content
+from quarry.operators.catalog import slots_of_page
 from quarry.operators.paths import folder_paths, with_paths
 from quarry.plans import compile as compiler
 from quarry.plans import query as language
@@ -28,10 +29,14 @@ class SearchResult:
 
 @dataclass
 class Catalog:
-    """All volumes: entries partitioned by drive, and their folder paths (made once, reused by searches)."""
+    """All volumes: entries partitioned by drive, and their folder paths (made once, reused by searches).
+
+    ``slots`` is what catalog.store tells of entries in stored order: the first screen then reads a few of them.
+    """
 
     entries: DataFrame
     folders: DataFrame | None = None
+    slots: list[tuple[int, int]] | None = None
 
     def paths(self) -> DataFrame:
         if self.folders is None:
@@ -74,7 +79,10 @@ def as_hits(rows: DataFrame) -> DataFrame:
 
 def page(catalog: Catalog, options: SearchOptions) -> DataFrame:
     """The first ``limit`` hits in order, as a distributed top-k; paths are made for those rows alone."""
-    rows = matching(catalog, options).orderBy(*order(options)).limit(min(options.limit, SERVICE_LIMIT))
+    rows, limit = matching(catalog, options), min(options.limit, SERVICE_LIMIT)
+    if catalog.slots is not None and options.sort == "name" and not options.folders_first and language.parse(options) is None:
+        rows = rows.where(F.col("slot").isin(slots_of_page(catalog.slots, limit, options.descending)))
+    rows = rows.orderBy(*order(options)).limit(limit)
     if "path" in rows.columns:
         return as_hits(rows)
     return as_hits(with_paths(rows, catalog.paths()).orderBy(*order(options)))
