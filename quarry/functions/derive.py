@@ -17,7 +17,8 @@ ATTRIBUTE_LETTERS = [(0x1, "R"), (0x2, "H"), (0x4, "S"), (0x20, "A"), (0x10, "D"
 def filetime_to_ms(ft: Column) -> Column:
     """100 ns ticks since 1601 to Unix milliseconds; 0 is unknown."""
     ticks = ft.cast("long")
-    return F.when(ticks != 0, F.floor((ticks - F.pmod(ticks, F.lit(10_000))) / 10_000).cast("long") - EPOCH_DIFF_MS)
+    whole = F.call_function("div", ticks - F.pmod(ticks, F.lit(10_000)), F.lit(10_000))
+    return F.when(ticks != 0, whole.cast("long") - EPOCH_DIFF_MS)
 
 
 def ms_to_filetime(ms: Column) -> Column:
@@ -77,12 +78,6 @@ def sequence_of(reference: Column) -> Column:
     return F.shiftrightunsigned(reference, 48)
 
 
-def html(text: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(raw), F.lit(safe))
-    return text
-
-
 def marked(text: str, terms: list[str], match_case: bool = False, whole_word: bool = False) -> str:
     """HTML of a text with <mark> around each term's occurrences; touching ranges are one."""
     hay = text if match_case else text.lower()
@@ -111,8 +106,24 @@ def marked(text: str, terms: list[str], match_case: bool = False, whole_word: bo
     return "".join([*out, escape(text[done:])])
 
 
+#: Private characters that stand for the marks until the rest is escaped.
+OPEN, CLOSE = "\ue000", "\ue001"
+
+
 def highlight(text: Column, terms: list[str], match_case: bool = False, whole_word: bool = False) -> Column:
-    """marked() over a column, in Arrow batches: only the rows of a page pass here."""
+    """marked() over a column.
+
+    One term needs no Python: its occurrences are set between private characters, touching ones are joined, the
+    text is escaped, and the characters become marks.  Ranges of several terms may overlap and are joined in Arrow
+    batches.
+    """
+    if len(terms) == 1 and terms[0]:
+        quoted = re.sub(r"([^\w\s])", r"\\\1", terms[0])
+        pattern = f"{'(?U)' if match_case else '(?iuU)'}" + (rf"(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])" if whole_word else quoted)
+        out = F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), pattern, f"{OPEN}$0{CLOSE}")
+        for raw, safe in ((CLOSE + OPEN, ""), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), (OPEN, "<mark>"), (CLOSE, "</mark>")):
+            out = F.replace(out, F.lit(raw), F.lit(safe))
+        return out
 
     @F.pandas_udf("string")
     def mark(texts: pd.Series) -> pd.Series:

@@ -12,6 +12,10 @@ from quarry.schema import EXPORT_LIMIT
 HEADERS = {"txt": None, "csv": "Name,Path,Size,Date Modified,Date Created,Date Accessed,Attributes", "efu": "Filename,Size,Date Modified,Date Created,Attributes"}
 
 
+#: Part files begin with "part".
+HEADER_FILE = "header.txt"
+
+
 def format_of(name: str) -> str:
     kind = name.lower()
     if kind not in HEADERS:
@@ -50,12 +54,16 @@ def lines(hits: DataFrame, kind: str, tz: str = "UTC") -> DataFrame:
 def write(hits: DataFrame, path: str, kind: str, tz: str = "UTC", total: int | None = None, most: int = EXPORT_LIMIT) -> dict:
     """Write ordered hits, at most ``most``, as part files with the header first; {written, total, capped}.
 
-    Order holds within and across part files by their names.  An export is bounded by ``most`` rows.
+    The header is a file whose name sorts before those of the rows.  Rows are in one file, in their order: an
+    export is bounded by ``most`` rows.
     """
     count = hits.count() if total is None else total
-    rows = lines(hits.limit(most), kind, tz)
-    spark, header = hits.sparkSession, HEADERS[kind]
+    rows, header = lines(hits.limit(most), kind, tz), HEADERS[format_of(kind)]
+    rows.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
     if header:
-        rows = spark.createDataFrame([(header,)], "line string").coalesce(1).unionAll(rows.coalesce(1))
-    rows.coalesce(1).write.mode("overwrite").text(path)
+        spark = hits.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{HEADER_FILE}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray((header + "\n").encode()))
+        out.close()
     return {"written": min(count, most), "total": count, "capped": count > most}
