@@ -72,7 +72,7 @@ def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """text_slices, each with its texts (null: empty)."""
     for part in text_slices(batch, column):
-        yield part, [t or "" for t in part.column(column).to_pylist()]
+        yield part, [t or "" for t in part.column(column).to_numpy(zero_copy_only=False)]
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, fn: Callable[[pa.Array, list[str]], dict], schema: str) -> DataFrame:

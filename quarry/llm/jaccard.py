@@ -21,11 +21,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, slices, small_batches, stage_table
+from quarry.llm.common import drop_table, small_batches, stage_table, text_slices
 from quarry.llm.graph import components
 
 #: Shingles that are put last in the order: at most so many, those that most classes hold.
@@ -55,19 +56,39 @@ class Similarity:
         return n - -(-self.num * n // self.den) + 1
 
 
-def shingles(text: str, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles (the whole sequence if it is shorter; nothing without words)."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64).view(np.int64) if words else np.zeros(0, np.int64)
-    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(one) - k + 1
-    out = np.zeros(n, np.uint64)
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its k-word shingles (the whole sequence if it is shorter; nothing without words).
+
+    Words are split and told apart on the Arrow buffers; each distinct one is hashed once, and the shingles of
+    all texts are mixed from those hashes at a time.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    # White space at a text's ends leaves empty words.
+    real = np.fromiter(map(len, distinct), np.int64, len(distinct))[index] > 0
+    upto = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy(zero_copy_only=False)]
+    index = index[real]
+    one = of_word[index]
+    out = np.zeros(max(0, len(one) - k + 1), np.uint64)
     for i in range(k):
-        out = (out ^ one[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ one[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
+    out = (out ^ (out >> np.uint64(32))).view(np.int64)
+    sets = []
+    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+        if b - a >= k:
+            found = np.sort(out[a : b - k + 1])
+            sets.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+        elif b > a:
+            whole = xxhash.xxh3_64_intdigest(b" ".join(distinct[i] for i in index[a:b].tolist()))
+            sets.append(np.array([whole], np.uint64).view(np.int64))
+        else:
+            sets.append(np.zeros(0, np.int64))
+    return sets
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -81,15 +102,15 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(hashes & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def over_texts(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
-    """fn(rows, texts) -> arrays of the columns of schema; rows has id and key (a hash of the text)."""
+def over_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
+    """fn(rows, shingle sets) -> arrays of the columns of schema; rows has id and key (a hash of the text)."""
     small_batches(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays(fn(part, texts), names=names)
+            for part in text_slices(batch, 1):
+                yield pa.RecordBatch.from_arrays(fn(part, shingle_sets(part.column(1), like.k)), names=names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).mapInArrow(run, schema)
 
@@ -97,17 +118,13 @@ def over_texts(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) ->
 def leading_shingles(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """Twice the prefix of each document by hash alone, one row a shingle, with the class it is in."""
 
-    def fn(part, texts):
-        sets = [shingles(t, like.k) for t in texts]
-        lists = [s[: 2 * like.prefix(len(s))] if len(s) else s for s in sets]
-        counts = [len(x) for x in lists]
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        owner = np.repeat(np.array([digest(s) for s in sets], np.int64), counts)
+    def fn(part, sets):
         # A class that occurs twice in a batch counts once.
-        keep = np.unique(np.stack([owner, flat], 1), axis=0) if len(flat) else np.zeros((0, 2), np.int64)
-        return [pa.array(np.ascontiguousarray(keep[:, 1])), pa.array(np.ascontiguousarray(keep[:, 0]))]
+        classes = {digest(s): s[: 2 * like.prefix(len(s))] for s in sets if len(s)}
+        tokens = np.concatenate([*classes.values(), np.zeros(0, np.int64)])
+        return [pa.array(tokens), pa.array(np.repeat(np.array([*classes], np.int64), [len(x) for x in classes.values()]))]
 
-    return over_texts(docs, id_col, text_col, fn, "token long, class long")
+    return over_sets(docs, like, id_col, text_col, fn, "token long, class long")
 
 
 def most_held(counts: DataFrame) -> np.ndarray:
@@ -138,10 +155,9 @@ def describe(docs: DataFrame, like: Similarity, frequent: np.ndarray, id_col: st
     shared = spark.sparkContext.broadcast(frequent)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def fn(part, texts):
+    def fn(part, every):
         last, rows, seen = shared.value, [], set()
-        for text in texts:
-            s = shingles(text, like.k)
+        for s in every:
             c = digest(s)
             if c in seen or not len(s):
                 rows.append((len(s), c, None, None, None, None))
@@ -156,7 +172,7 @@ def describe(docs: DataFrame, like: Similarity, frequent: np.ndarray, id_col: st
         n, c, prefix, rare, bitmap, wide = zip(*rows)
         return [part.column("id"), part.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(wide, pa.bool_())]
 
-    return over_texts(docs, id_col, text_col, fn, f"id {kind}, key long, n long, class long, prefix array<long>, rare long, bitmap binary, open boolean")
+    return over_sets(docs, like, id_col, text_col, fn, f"id {kind}, key long, n long, class long, prefix array<long>, rare long, bitmap binary, open boolean")
 
 
 def settle(classes: DataFrame, like: Similarity, frequent: np.ndarray) -> DataFrame:
@@ -237,10 +253,9 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
         bitmap[w] = bits
     shared = spark.sparkContext.broadcast(bitmap)
 
-    def fn(part, texts):
+    def fn(part, every):
         classes, sets, seen = [], [], set()
-        for text in texts:
-            s = shingles(text, like.k)
+        for s in every:
             c = digest(s)
             p = c & ((1 << SIFT_BITS) - 1)
             if c not in seen and shared.value[p >> 5] >> np.uint32(p & 31) & 1:
@@ -249,7 +264,7 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
                 sets.append(s)
         return [pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
 
-    sets = over_texts(docs, id_col, text_col, fn, "class long, hashes array<long>").join(needed, "class", "left_semi")
+    sets = over_sets(docs, like, id_col, text_col, fn, "class long, hashes array<long>").join(needed, "class", "left_semi")
     sets = stage_table(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
     found = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))

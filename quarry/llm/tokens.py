@@ -124,7 +124,7 @@ class LibraryEncoder:
         # Words of letters, with or without a mark, are looked up as folded letters.
         plain = pc.match_substring_regex(distinct, PLAIN_WORD)
         stems = pc.if_else(plain, pc.ascii_rtrim(pc.utf8_lower(distinct), characters=MARKS), distinct).dictionary_encode()
-        of_stem = pa.array(self.ids_of(stems.dictionary.to_pylist()), pa.binary())
+        of_stem = pa.array(self.ids_of(stems.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary())
         mark = pc.index_in(pc.if_else(plain, pc.utf8_slice_codeunits(distinct, -1), ""), self.marks).fill_null(len(MARKS))
         of_word = pc.binary_join_element_wise(of_stem.take(stems.indices), self.mark_ids.take(mark), b"")
         every = of_word.take(coded.indices)
