@@ -22,6 +22,25 @@ from quarry.storage import shared_dir
 BATCH_BYTES = "8m"
 SLICE_BYTES = 2_000_000
 
+_held: list[tuple] = []
+
+
+def held(key: tuple, make: Callable):
+    """A worker's large object (an encoder, dictionaries), kept over its tasks until another key is asked for.
+
+    Workers outlive a stage, so without this they would hold what every operator before has made.
+    """
+    if not _held or _held[0][0] != key:
+        let_go()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def let_go() -> None:
+    """Drop what held() keeps; for operators that need none."""
+    _held.clear()
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_table, small_batches, stage_table, text_slices
+from quarry.llm.common import drop_table, let_go, small_batches, stage_table, text_slices
 from quarry.llm.graph import components
 
 #: Shingles that are put last in the order: at most so many, those that most classes hold.
@@ -108,6 +108,7 @@ def over_sets(docs: DataFrame, like: Similarity, id_col: str, text_col: str, fn,
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(fn(part, shingle_sets(part.column(1), like.k)), names=names)

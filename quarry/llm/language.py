@@ -6,7 +6,6 @@ are added up.  The margin between the two smallest totals decides whether the an
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, hashed_part, map_rows, map_texts
+from quarry.llm.common import bounded_sample, hashed_part, held, map_rows, map_texts
 from quarry.llm.compression import DictionaryCompressor, blocks, even_pieces, joined
 
 #: Languages that are learnt, those with most labelled rows: each costs a dictionary and a compression of every text.
@@ -50,9 +49,8 @@ class LanguageModel:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-@functools.lru_cache(maxsize=2)
 def compressors(model: LanguageModel) -> list[DictionaryCompressor]:
-    return [DictionaryCompressor(d, min_match=3, strategy=zstd.STRATEGY_LAZY) for _, d in model.dictionaries]
+    return held(("language", model), lambda: [DictionaryCompressor(d, min_match=3, strategy=zstd.STRATEGY_LAZY) for _, d in model.dictionaries])
 
 
 def interleave(texts: list[str], most: int) -> bytes:

@@ -9,7 +9,6 @@ function of how many of its windows reach each, so one toxic window in a long te
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, hashed_part, map_rows, map_texts
+from quarry.llm.common import bounded_sample, hashed_part, held, map_rows, map_texts
 from quarry.llm.compression import DictionaryCompressor, even_pieces, joined, word_windows
 
 #: Labelled documents sampled a class, and characters taken of a long one for training.
@@ -111,10 +110,9 @@ def base_of(texts: list[str]) -> bytes:
     return even_pieces([folded(t) for t in texts], BASE_BYTES)
 
 
-@functools.lru_cache(maxsize=4)
 def compressors(ordinary: bytes, toxic: bytes) -> tuple[DictionaryCompressor, DictionaryCompressor]:
     kind = {"min_match": 5, "strategy": zstd.STRATEGY_GREEDY}
-    return DictionaryCompressor(ordinary, **kind), DictionaryCompressor(toxic, **kind)
+    return held(("toxicity", ordinary, toxic), lambda: (DictionaryCompressor(ordinary, **kind), DictionaryCompressor(toxic, **kind)))
 
 
 def savings(ordinary: bytes, toxic: bytes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

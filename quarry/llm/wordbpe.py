@@ -7,7 +7,6 @@ white-space words whose ids are remembered in a bounded cache.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -18,7 +17,7 @@ from collections.abc import Callable
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_texts
+from quarry.llm.common import held, map_texts
 
 #: Words kept in each of a cache's two generations; longer words than LONG_WORD are never kept.
 CACHE_WORDS = 400_000
@@ -150,10 +149,9 @@ class WordBPE:
         return [int(i) for _, ids, _ in self.encode_text(text) for i in ids.split()]
 
 
-@functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
     """One encoder a process: a Python worker keeps it, and its cache, over its tasks."""
-    return WordBPE(path)
+    return held(("bpe", path), lambda: WordBPE(path))
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
