@@ -207,7 +207,9 @@ def settle(classes: DataFrame, like: Similarity, frequent: np.ndarray) -> DataFr
 
     columns = ["class", "n", "bitmap", "least"]
     settled = wide.select(*columns, ordered("prefix").alias("o")).select(*columns, "o.prefix", "o.rare")
-    return stage_table(classes.where("not open").select(*columns, "prefix", "rare").unionByName(settled), "settled")
+    out = stage_table(classes.where("not open").select(*columns, "prefix", "rare").unionByName(settled), "settled")
+    drop_table(classes)
+    return out
 
 
 def bits_allow(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, like: Similarity) -> np.ndarray:
@@ -269,7 +271,9 @@ def verify(pairs: DataFrame, docs: DataFrame, like: Similarity, id_col: str, tex
     sets = stage_table(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
     found = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return found.where(like.den * common >= like.num * (F.size("x") + F.size("y") - common)).select("a", "b")
+    linked = stage_table(found.where(like.den * common >= like.num * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    drop_table(sets)
+    return linked
 
 
 def places_allow(a, at, b, bt, like: Similarity, least=F.least, greatest=F.greatest):
@@ -342,7 +346,7 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
     spokes = banded.join(centre, ["token", "band"]).where(places_allow(F.col("n"), F.col("at"), F.col("nb"), F.col("bt"), like)).select(F.col("group").alias("a"), "b")
     pairs = members.select(F.col("class").alias("a"), F.col("group").alias("b")).unionByName(spokes).where("a <> b").distinct()
     pairs = stage_table(sift(with_classes(pairs, classes), like).select("a", "b"), "pairs")
-    edges = stage_table(verify(pairs, docs, like, id_col, text_col), "links")
+    edges = verify(pairs, docs, like, id_col, text_col)
     drop_table(pairs)
     first = stage_table(components(edges), "roots")
 
@@ -352,9 +356,12 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
     # Parts of one group share their whole prefix: the group is one more bucket, whether its shingles are shared or not.
     split = parts.groupBy("group").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group")
     own = led.select("group", "n", F.lit(0).alias("at"), F.xxhash64("group", F.lit("group")).alias("token")).join(split, "group", "left_semi")
+    shared = rows
     rows = rows.select("group", "n", "at", "token").unionByName(own).join(parts, "group").select("part", "n", "root", "at", "token")
     mixed = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     rows = stage_table(rows.join(mixed, "token", "left_semi"), "buckets")
+    for done in (shared, led):
+        drop_table(done)
     sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("held"))
     sizes = stage_table(sizes.select("token", F.col("top.root").alias("main"), "held", (F.col("held") - F.col("top.held")).alias("minors")), "sizes")
     inside = placed.join(parts, ["group", "root"]).select("part", "class")
@@ -370,19 +377,26 @@ def links(classes: DataFrame, docs: DataFrame, like: Similarity, id_col: str, te
     if not large.isEmpty():
         sifted = sifted.unionByName(compare_blocks(rows, large, inside, classes, like)).distinct()
     pairs = stage_table(sifted, "pairs")
+    for done in (rows, sizes, members, parts):
+        drop_table(done)
     more = verify(pairs, docs, like, id_col, text_col)
+    drop_table(pairs)
     return components(edges.unionByName(more))
 
 
 def grouped_documents(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """One row a document: id, key (hash of the text), n, component_id and group (a class digest; null for empty sets)."""
     frequent = most_held(count_tokens(leading_shingles(docs, like, id_col, text_col)))
-    every = stage_table(describe(docs, like, frequent, id_col, text_col), "described")
-    classes = every.where("n > 0").groupBy("class").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n", "prefix", "rare", "bitmap", "open")), F.min("id").alias("least"))
-    classes = settle(stage_table(classes, "classes"), like, frequent)
+    described = stage_table(describe(docs, like, frequent, id_col, text_col), "described")
+    every = stage_table(described.select("id", "key", "n", "class"), "rows")
+    classes = described.where("n > 0").groupBy("class").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n", "prefix", "rare", "bitmap", "open")), F.min("id").alias("least"))
+    classes = stage_table(classes, "classes")
+    drop_table(described)
+    classes = settle(classes, like, frequent)
     roots = links(classes, docs, like, id_col, text_col)
     grouped = classes.select("class", "least").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     grouped = stage_table(grouped, "grouped")
+    drop_table(classes)
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(smallest, "root").select("class", F.col("root").alias("group"), "component_id")
     full = every.where("n > 0").select("id", "key", "n", "class").join(named, "class").select("id", "key", "n", "component_id", "group")
