@@ -322,6 +322,30 @@ def test_nearest_compares_few_and_finds_most():
         assert hits / (10 * len(asked)) >= 0.9 and np.mean([len(r) for r in rows]) / len(vectors) < most
 
 
+def test_nearest_does_not_depend_on_the_number_of_rows(spark):
+    """Thousands of rows that are far from every query change no answer, and few rows are searched as well as many."""
+    table = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = {r.vec_id: np.array(r.embedding) for r in table.collect()}
+    far = np.random.default_rng(7).normal(size=(6000, 64))
+    far = 100 * far / np.linalg.norm(far, axis=1, keepdims=True)
+    far = spark.createDataFrame([(1_000_001 + 10 * i, x.tolist()) for i, x in enumerate(far)], "vec_id long, embedding array<double>")
+    few = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(8).normal(size=(60, 64)))], "vec_id long, embedding array<double>")
+    found = lambda df: {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 10 == 0).collect()}
+    alone = found(table)
+    assert alone == found(table.unionByName(far))
+    for vectors, got in ((vectors, alone), ({r.vec_id: np.array(r.embedding) for r in few.collect()}, found(few))):
+        asked = [q for q in vectors if q % 10 == 0]
+        want = {q: sorted(vectors, key=lambda i: (np.sqrt(((vectors[i] - vectors[q]) ** 2).sum()), i) if i != q else (np.inf, i))[:10] for q in asked}
+        assert len(got) == 10 * len(asked) and np.mean([len({got[q, r + 1][0] for r in range(10)} & set(want[q])) / 10 for q in asked]) >= 0.9
+
+
+def test_more_probes_reach_wider_angles():
+    for d in (1, 3, 64):
+        counts = [n or ann.MOST_PROBES + 1 for n in ann.reach(d)]
+        assert counts == sorted(counts, reverse=True) and counts[-1] == 1
+    assert ann.reach(64)[0] == 0 and ann.reach(3)[0] > 0
+
+
 def test_pseudo_rotation_keeps_lengths_and_matches_its_matrix():
     x = np.random.default_rng(2).normal(size=(5, 300))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1)) and ann.rotated(x, 3).shape == (5, 512)
